@@ -23,17 +23,16 @@ def cell(day: Column | str) -> Column:
     return F.floor((F.col(day) if isinstance(day, str) else day) / CELL_DAYS).cast("int")
 
 
-def active_on_start_days(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+def active_on_start_days(rows: DataFrame, keys: Sequence[str], open_ended: bool = False) -> DataFrame:
     """Rows (keys, item, first, last) in day numbers -> (keys, day, item, first, last), distinct.
 
-    Rows with an empty interval or a missing start are dropped. An interval that outlives the
-    last start day of the whole data occupies no cell after it: later days are never looked at.
+    Rows with an empty interval or a missing start are dropped. With ``open_ended`` an interval may
+    outlive the data; it then occupies no cell after the last start day, as no later day is looked at.
     """
     keys = list(keys)
     rows = rows.filter("first <= last").select(*keys, "item", "first", "last").distinct()
-    last_start = rows.agg(F.max("first").alias("day")).scalar()
-    cells = F.sequence(cell("first"), cell(F.least(F.col("last"), last_start)))
-    spans = rows.withColumn("cell", F.explode(cells))
+    reach = F.least(F.col("last"), rows.agg(F.max("first")).scalar()) if open_ended else F.col("last")
+    spans = rows.withColumn("cell", F.explode(F.sequence(cell("first"), cell(reach))))
     days = rows.select(*keys, F.col("first").alias("day")).distinct().withColumn("cell", cell("day"))
     return (
         days.join(spans, [*keys, "cell"])

@@ -187,7 +187,7 @@ def drug_triples_overlapping(tables: Tables, k: int | None = 10, in_order: bool
         "person_id", "item", day_number(start).alias("first"),
         day_number(F.coalesce("end", F.lit(OPEN_END).cast("date"))).alias("last"),
     )
-    active = intervals.active_on_start_days(keep(rows.distinct(), "events"), ["person_id"]).select(
+    active = intervals.active_on_start_days(keep(rows.distinct(), "events"), ["person_id"], open_ended=True).select(
         "person_id", "day", "item", "last", (F.col("first") == F.col("day")).cast("int").alias("fresh")
     )
     sets = (
