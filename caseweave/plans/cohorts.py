@@ -163,11 +163,16 @@ _TRAIT_KEYS = {"gender": ("gender_concept_id", "Gender"), "race": ("race_concept
                "ethnicity": ("ethnicity_concept_id", "Ethnicity")}
 
 
-def hits(tables: Tables, cohort: Cohort, instances: DataFrame) -> DataFrame:
-    """Events in the concept set of a slot: (instance_id, slot, person_id, start, end)."""
-    places = instances.select("instance_id", F.posexplode("codes").alias("slot", "code")).select(
+def slot_rows(instances: DataFrame) -> DataFrame:
+    """The concepts of each instance, one row per slot."""
+    return instances.select("instance_id", F.posexplode("codes").alias("slot", "code")).select(
         "instance_id", "slot", "code.vocabulary_id", "code.concept_code"
     )
+
+
+def hits(tables: Tables, cohort: Cohort, instances: DataFrame) -> DataFrame:
+    """Events in the concept set of a slot: (instance_id, slot, person_id, start, end)."""
+    places = slot_rows(instances)
     out = None
     for kind, variant in dict.fromkeys(cohort.slots):
         mine = [n for n, slot in enumerate(cohort.slots) if slot == (kind, variant)]
@@ -178,32 +183,52 @@ def hits(tables: Tables, cohort: Cohort, instances: DataFrame) -> DataFrame:
     return out
 
 
-def _with_trait(tables: Tables, cohort: Cohort, instances: DataFrame, found: DataFrame) -> DataFrame:
-    """(instance_id, person_id) of the hits that also meet the trait."""
-    wanted = instances.select("instance_id", "value")
-    key = ["instance_id", "person_id"]
+def _with_trait(tables: Tables, cohort: Cohort, instances: DataFrame) -> DataFrame:
+    """Patients of a concept with a trait: (instance_id, number_of_patients).
+
+    Instances that ask for one concept with different values share the work: patients are counted
+    per concept and value, and the instances then look their counts up.
+    """
+    wanted = instances.select("instance_id", F.col("codes")[0].alias("code"), "value")
+    codes = wanted.select("code").distinct().select(F.col("code").alias("instance_id"), F.array("code").alias("codes"))
+    found = hits(tables, cohort, codes).withColumnRenamed("instance_id", "code")
+    key = ["code", "value"]
     if cohort.trait in ("year", "year_span", "age"):
         wanted = wanted.withColumn("value", F.col("value").cast("long"))
     if cohort.trait == "year":
-        return found.withColumn("value", year_of("start")).join(wanted, ["instance_id", "value"]).select(*key).distinct()
-    if cohort.trait == "year_span":
-        inside = F.col("value").between(year_of("start"), year_of("end"))
-        return found.join(wanted, "instance_id").filter(inside).select(*key).distinct()
-    if cohort.trait == "age":
-        years = found.select(*key, year_of("start").alias("year")).distinct()
+        valued = found.select("code", "person_id", year_of("start").alias("value"))
+    elif cohort.trait == "year_span":
+        # Only wanted years are laid out, so that a far end date does not multiply rows.
+        low, high = (wanted.agg(agg("value")).scalar() for agg in (F.min, F.max))
+        spans = found.select(
+            "code", "person_id", F.greatest(year_of("start"), low).alias("low"), F.least(year_of("end"), high).alias("high")
+        ).filter(year_of("end").isNotNull() & (F.col("low") <= F.col("high")))
+        valued = spans.select("code", "person_id", F.explode(F.sequence("low", "high")).alias("value"))
+    elif cohort.trait == "age":
+        years = found.select("code", "person_id", year_of("start").alias("year")).distinct()
         aged = years.join(tables.person.select("person_id", "year_of_birth"), "person_id")
-        return aged.withColumn("value", F.col("year") - F.col("year_of_birth")).join(wanted, ["instance_id", "value"]).select(*key).distinct()
-    have = persons.having_any(found)
-    if cohort.trait == "state":
-        plain = F.upper(F.trim("state"))
-        at = tables.location.select("location_id", plain.alias("value")).filter("value <> '' AND value <> 'UNKNOWN'")
-        person = tables.person.select("person_id", "location_id").join(at, "location_id").select("person_id", "value")
-        wanted = wanted.withColumn("value", F.upper(F.trim("value")))
-        return have.join(person, "person_id").join(wanted, ["instance_id", "value"], "left_semi")
-    column, domain = _TRAIT_KEYS[cohort.trait]
-    find = trait_concepts_with_synonyms if cohort.trait == "race" else trait_concepts
-    person = tables.person.select("person_id", F.col(column).alias("concept_id"))
-    return have.join(person, "person_id").join(find(tables, instances, domain), ["instance_id", "concept_id"], "left_semi")
+        valued = aged.select("code", "person_id", (F.col("year") - F.col("year_of_birth")).alias("value"))
+    else:
+        have = found.select("code", "person_id").distinct()
+        if cohort.trait == "state":
+            at = tables.location.select("location_id", F.upper(F.trim("state")).alias("value"))
+            person = tables.person.select("person_id", "location_id").join(
+                at.filter("value <> '' AND value <> 'UNKNOWN'"), "location_id"
+            )
+            wanted = wanted.withColumn("value", F.upper(F.trim("value")))
+        else:
+            column, domain = _TRAIT_KEYS[cohort.trait]
+            find = trait_concepts_with_synonyms if cohort.trait == "race" else trait_concepts
+            ids = find(tables, instances, domain).withColumnRenamed("concept_id", "value")
+            wanted = wanted.drop("value").join(ids, "instance_id")
+            person = tables.person.select("person_id", F.col(column).alias("value"))
+        valued = have.join(person.select("person_id", "value"), "person_id")
+    counts = valued.groupBy(*key).agg(F.count_distinct("person_id").alias("n"))
+    # A name can stand for several concepts; a patient has one of them, so the counts add up.
+    totals = wanted.join(counts, key).groupBy("instance_id").agg(F.sum("n").alias("n"))
+    return instances.select("instance_id").join(totals, "instance_id", "left").select(
+        "instance_id", F.coalesce("n", F.lit(0)).alias("number_of_patients")
+    )
 
 
 def _of_population(tables: Tables, cohort: Cohort, instances: DataFrame) -> DataFrame:
@@ -233,6 +258,8 @@ def evaluate(tables: Tables, cohort: Cohort, instances: DataFrame, days: int | N
     size = len(cohort.slots)
     if cohort.test == "trait":
         return _of_population(tables, cohort, instances)
+    if cohort.trait:
+        return _with_trait(tables, cohort, instances)
     found = hits(tables, cohort, instances)
     if cohort.test == "by_year":
         return (
@@ -241,9 +268,7 @@ def evaluate(tables: Tables, cohort: Cohort, instances: DataFrame, days: int | N
         )
     if cohort.test in ("within", "after"):
         found = found.select("instance_id", "person_id", "slot", day_number("start").alias("day"))
-    if cohort.trait:
-        chosen = _with_trait(tables, cohort, instances, found)
-    elif cohort.test == "any":
+    if cohort.test == "any":
         chosen = persons.having_any(found)
     elif cohort.test == "all":
         chosen = persons.having_all(found, size)
