@@ -77,7 +77,9 @@ def _trait(trait: str) -> str:
     )
 
 
-def _criterion(cohort: Cohort) -> str:
+def _criterion(cohort: Cohort, given: str | None = None) -> str:
+    """SQL of a criterion over its registered instances, or over ``given`` CTEs for slots and inst."""
+    prefix = hits_sql(cohort, given)
     size = len(cohort.slots)
     starts = ", ".join(f"h{n}.s" for n in range(1, size + 1))
     span = f"GREATEST({starts}) - LEAST({starts})" if size > 1 else "0"
@@ -91,7 +93,7 @@ def _criterion(cohort: Cohort) -> str:
         return with_star(
             "SELECT CAST(instance_id AS BIGINT) AS instance_id, EXTRACT(YEAR FROM s) AS year, "
             "COUNT(DISTINCT p) AS number_of_patients FROM h GROUP BY 1, 2",
-            hits_sql(cohort),
+            prefix,
         )
     elif cohort.test == "any":
         rows = "SELECT instance_id, p FROM h" + (" JOIN person ON person_id = p" if cohort.known_patients else "")
@@ -115,7 +117,7 @@ def _criterion(cohort: Cohort) -> str:
     return with_star(
         "SELECT CAST(inst.instance_id AS BIGINT) AS instance_id, COUNT(DISTINCT found.p) AS number_of_patients "
         "FROM inst LEFT JOIN found ON found.instance_id = inst.instance_id GROUP BY 1",
-        f"{hits_sql(cohort)}{pre}, found AS ({rows})",
+        f"{prefix}{pre}, found AS ({rows})",
     )
 
 

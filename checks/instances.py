@@ -228,8 +228,8 @@ def slots_sql(cohort: Cohort) -> str:
     return _slots_of_chains(kinds.pop().capitalize(), len(cohort.slots))
 
 
-def hits_sql(cohort: Cohort) -> str:
-    """CTEs up to h(instance_id, slot, p, s, f)."""
+def hits_sql(cohort: Cohort, given: str | None = None) -> str:
+    """CTEs up to h(instance_id, slot, p, s, f); ``given`` replaces the registered slots and inst."""
     parts = []
     for n, (kind, variant) in enumerate(dict.fromkeys(cohort.slots)):
         mine = ", ".join(str(j) for j, slot in enumerate(cohort.slots) if slot == (kind, variant))
@@ -237,4 +237,4 @@ def hits_sql(cohort: Cohort) -> str:
             f"SELECT cs.instance_id, cs.slot, e.p, e.s, e.f FROM ({_SETS[variant]}) cs JOIN ({_EVENTS[kind]}) e "
             f"ON e.i = cs.concept_id WHERE cs.slot IN ({mine})"
         )
-    return f"{slots_sql(cohort)}, h AS ({' UNION ALL '.join(parts)})"
+    return f"{given or slots_sql(cohort)}, h AS ({' UNION ALL '.join(parts)})"

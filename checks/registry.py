@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caseweave.plans.cohorts import COHORTS, Cohort, evaluate, report
 from caseweave.plans.discovery import DISCOVERIES
+from checks import extra
 from checks.cohort_sql import cohort_sql
 from checks.discovery_sql import discovery_sql
 from checks.instances import instances_for
@@ -45,8 +46,8 @@ NAMES = _named({key: function.__name__ for key, function in DISCOVERIES.items()}
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {NAMES[key]: _discovery(function) for key, function in DISCOVERIES.items()}
     out |= {NAMES[key]: _cohort(cohort) for key, cohort in COHORTS.items()}
-    return out
+    return out | extra.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {NAMES[key]: sql for key, sql in (discovery_sql() | cohort_sql()).items()}
+    return {NAMES[key]: sql for key, sql in (discovery_sql() | cohort_sql()).items()} | extra.oracle_sql()
