@@ -7,7 +7,7 @@ import sys
 import time
 
 import duckdb
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from checks.registry import oracle_sql, queries
 
@@ -42,14 +42,14 @@ def normal(columns: list[str], rows) -> list[tuple]:
     return sorted((tuple(_plain(row[i]) for i in order) for row in rows), key=repr)
 
 
-def compare(spark: SparkSession, con, sf_dir: str, name: str) -> tuple[bool, str]:
+def compare(spark: SparkSession, con, sf_dir: str, name: str) -> tuple[bool, str, DataFrame]:
     start = time.time()
     df = queries()[name](spark, sf_dir)
     got = normal(df.columns, [tuple(r) for r in df.collect()])
     took = time.time() - start
     sql = oracle_sql().get(name)
     if sql is None:
-        return True, f"{len(got)} rows, no SQL, {took:.2f}s"
+        return True, f"{len(got)} rows, no SQL, {took:.2f}s", df
     start = time.time()
     cursor = con.execute(sql)
     columns = [d[0] for d in cursor.description]
@@ -59,7 +59,7 @@ def compare(spark: SparkSession, con, sf_dir: str, name: str) -> tuple[bool, str
     if not same:
         odd = [pair for pair in zip(got, want) if pair[0] != pair[1]][:2]
         text += f" columns {sorted(df.columns)} / {sorted(columns)} first differences {odd}"
-    return same, text
+    return same, text, df
 
 
 def main() -> int:
@@ -71,7 +71,7 @@ def main() -> int:
         if parts and not any(p in name for p in parts):
             continue
         try:
-            same, text = compare(spark, con, sf_dir, name)
+            same, text, _ = compare(spark, con, sf_dir, name)
         except Exception as error:  # report and go on with the next query
             same, text = False, f"{type(error).__name__}: {str(error)[:700]}"
         print("ok  " if same else "BAD ", name, text, flush=True)
