@@ -27,6 +27,12 @@ def shuffle_width(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def all_small(rows: DataFrame) -> bool:
+    """True when no patient has more than ``PART_ROWS`` rows, so that no group need be cut; one number is fetched."""
+    largest = rows.groupBy("person_id").agg(F.count("*").alias("rows")).agg(F.max("rows")).first()[0]
+    return (largest or 0) <= PART_ROWS
+
+
 def with_parts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add ``parts``: into how many parts the group of a row is cut."""
     size = F.count("*").over(Window.partitionBy(*keys))
@@ -49,7 +55,7 @@ def item_sets(groups: DataFrame, keys: Sequence[str], size: int, small: bool = F
     """All rising item tuples of every group: keys, i1 .. i<size>.
 
     Any further column c of ``groups`` comes along as c1 .. c<size>. ``small`` says that no group
-    can be large, as when only the seed items are left; then groups are not measured.
+    is large, as when only the seed items are left; then groups are not measured and not cut.
     """
     keys = list(keys)
     extra = [c for c in groups.columns if c not in (*keys, "item")]
@@ -73,10 +79,11 @@ def pairs_across(left: DataFrame, right: DataFrame, keep: Column, small: bool =
     """Rows of two per-patient frames joined on person_id where ``keep`` holds.
 
     Apart from person_id the frames share no column name; the item column of ``left`` is a.
-    A patient with many left rows is cut into parts, and the right rows follow.
+    A patient with many left rows is cut into parts, and the right rows follow (not when ``small``).
     """
     if small:
-        return left.join(right, "person_id").filter(keep)
+        first, second = (side.repartition(shuffle_width(left), "person_id") for side in (left, right))
+        return first.join(second, "person_id").filter(keep)
     sized = with_parts(left, ["person_id"])
     cut = sized.filter("parts > 1").select("person_id", "parts").distinct()
     right = right.join(cut, "person_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))

@@ -56,8 +56,9 @@ def _names(size: int, what: str) -> dict[str, str]:
 
 
 def _top_sets(tables: Tables, rows: DataFrame, count: Callable, size: int, what: str, k: int | None) -> DataFrame:
-    kept = prune_items(keep(rows, "events"), count, size, k)
-    return ranking.top_sets(tables, count(kept, False), _names(size, what), k)
+    rows = keep(rows, "events")
+    kept = prune_items(rows, count, size, k)
+    return ranking.top_sets(tables, count(kept, groups.all_small(rows)), _names(size, what), k)
 
 
 def _together(size: int) -> Callable[[DataFrame, bool], DataFrame]:
@@ -167,7 +168,7 @@ def drug_quads_in_head(tables: Tables, k: int | None = 10, head: int = 500) -> D
     same = Window.partitionBy("concept_name")
     named = head_drugs.select("item", F.min("item").over(same).alias("name_id"))
     baskets = keep(eras.select("person_id", "item").distinct().join(named, "item"), "baskets")
-    sets = item_sets(baskets, ["person_id"], 4)
+    sets = item_sets(baskets, ["person_id"], 4, groups.all_small(baskets))
     name_ids = {f"name_id{n}": f"drug{n}_name" for n in range(1, 5)}
     return ranking.top_sets(tables, count_sets(sets, list(name_ids), unique=False), name_ids, k)
 
@@ -187,11 +188,12 @@ def drug_triples_overlapping(tables: Tables, k: int | None = 10, in_order: bool
         "person_id", "item", day_number(start).alias("first"),
         day_number(F.coalesce("end", F.lit(OPEN_END).cast("date"))).alias("last"),
     )
-    active = intervals.active_on_start_days(keep(rows.distinct(), "events"), ["person_id"], open_ended=True).select(
+    rows = keep(rows.distinct(), "events")
+    active = intervals.active_on_start_days(rows, ["person_id"], open_ended=True).select(
         "person_id", "day", "item", "last", (F.col("first") == F.col("day")).cast("int").alias("fresh")
     )
     sets = (
-        item_sets(active, ["person_id", "day"], 3)
+        item_sets(active, ["person_id", "day"], 3, groups.all_small(rows))
         .filter(intervals.any_fresh(3))
         .select(
             "person_id", "i1", "i2", "i3",
@@ -280,7 +282,7 @@ def _followed(earlier: DataFrame, later: DataFrame, gap: int, strict: bool, smal
 def _top_followed(tables: Tables, kind: str, gap: int, strict: bool, names: dict[str, str], k: int | None) -> DataFrame:
     rows = keep(_first_and_last(_valid_events(tables, kind)), "events")
     kept = prune_items(rows, lambda r, small: _followed(r, r, gap, strict, small), 2, k)
-    return ranking.top_sets(tables, _followed(kept, kept, gap, strict), names, k)
+    return ranking.top_sets(tables, _followed(kept, kept, gap, strict, groups.all_small(rows)), names, k)
 
 
 def condition_then_condition(tables: Tables, k: int | None = 10) -> DataFrame:
@@ -331,8 +333,9 @@ def _drug_after_condition(tables: Tables, gap: int, k: int | None) -> DataFrame:
     def count(c: DataFrame, d: DataFrame, small: bool = False) -> DataFrame:
         return _followed(c, d, gap, strict=True, small=small)
 
+    kept = prune_sides(conditions, drugs, count, k)
     return ranking.top_sets(
-        tables, count(*prune_sides(conditions, drugs, count, k)), {"a": "condition_name", "b": "drug_name"}, k
+        tables, count(*kept, groups.all_small(conditions)), {"a": "condition_name", "b": "drug_name"}, k
     )
 
 

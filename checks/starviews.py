@@ -5,6 +5,7 @@ Both definitions use the same integer formulas. See FIXTURES.md for the roles.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,6 +15,7 @@ from caseweave.storage import keep
 
 DRUG, DRUG_CLASS, DRUG_SOURCE = 1_000_000, 2_000_000, 3_000_000
 CONDITION, CONDITION_CLASS, CONDITION_GROUP = 4_000_000, 5_000_000, 6_000_000
+EVENT_TABLES = ("drug_exposure", "drug_era", "condition_occurrence", "condition_era")
 GENDER, RACE, ETHNICITY = 8_000_000, 8_100_000, 8_200_000
 
 
@@ -37,7 +39,15 @@ def _pairs(df: DataFrame, ancestor, descendant) -> DataFrame:
 def star_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The clinical tables, derived once per session and kept in the shared folder, as a warehouse would."""
     frames = star_frames(spark, sf_dir)
-    return Tables.of({name: keep(conform(name, df), name) for name, df in frames.items()})
+    width = spark.sparkContext.defaultParallelism
+
+    def store(name: str) -> DataFrame:
+        table = conform(name, frames[name])
+        return keep(table.repartition(width) if name in EVENT_TABLES else table, name)
+
+    with ThreadPoolExecutor(4) as pool:  # the tables are independent of each other
+        kept = dict(zip(frames, pool.map(store, frames)))
+    return Tables.of(kept)
 
 
 def star_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
