@@ -160,7 +160,7 @@ def _dataset_sql(cohort_id: str) -> str:
         # The rows of a report, in text order, as JSON.
         cells = "'[' || year || ',' || number_of_patients || ']'"
         answer = (
-            f"CASE WHEN COUNT(*) = 0 THEN NULL ELSE '[' || string_agg({cells}, ',' ORDER BY CAST(year AS VARCHAR), "
+            f"CASE WHEN COUNT(c.instance_id) = 0 THEN NULL ELSE '[' || string_agg({cells}, ',' ORDER BY CAST(year AS VARCHAR), "
             "CAST(number_of_patients AS VARCHAR)) || ']' END"
         )
     else:
@@ -168,7 +168,7 @@ def _dataset_sql(cohort_id: str) -> str:
     numbered = with_star(f"SELECT place, {text} AS input FROM numbered", given)
     return (
         f"SELECT CAST(n.place AS BIGINT) AS place, n.input, {answer} AS answer FROM ({numbered}) n "
-        f"JOIN ({counted}) c ON c.instance_id = n.place GROUP BY 1, 2"
+        f"LEFT JOIN ({counted}) c ON c.instance_id = n.place GROUP BY 1, 2"  # an item without rows stays
     )
 
 

@@ -188,3 +188,49 @@ def test_chain_overlap(spark, tiny):
         for f in found:
             want[f] = want.get(f, 0) + 1
     assert got == want
+
+
+def skewed(seed):
+    """One patient holds a third of all rows."""
+    rows = random_rows(seed, people=10, items=9, rows=8)
+    rng = random.Random(seed)
+    return rows + [(99, rng.randint(1, 9), first := rng.randint(0, 60), first + rng.randint(0, 10)) for _ in range(len(rows) // 2)]
+
+
+def test_cut_groups_in_overlaps(spark, monkeypatch):
+    rows = skewed(6)
+    monkeypatch.setattr(groups, "PART_ROWS", 2)
+    assert not groups.all_small(frame(spark, rows))
+    got = as_counts(discovery._overlapping(3)(frame(spark, rows), False), 3)
+    assert got == counts(brute_overlap(rows, 3))
+
+
+def test_cut_groups_in_order(spark, monkeypatch):
+    rows = skewed(8)
+    df = frame(spark, rows).groupBy("person_id", "item").agg(F.min("first").alias("first"), F.max("first").alias("last"))
+    monkeypatch.setattr(groups, "PART_ROWS", 2)
+    cut = {(r["a"], r["b"]): r["n"] for r in discovery._followed(df, df, 5, False, False).collect()}
+    small = {(r["a"], r["b"]): r["n"] for r in discovery._followed(df, df, 5, False, True).collect()}
+    want = {}
+    for p in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == p]
+        for pair in {(x[1], y[1]) for x in mine for y in mine if x[1] != y[1] and y[2] - x[2] >= 5}:
+            want[pair] = want.get(pair, 0) + 1
+    assert cut == small == want
+
+
+def test_two_sided_pruning_is_exact(spark, monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(groups, "SEEDS", {2: 3, 3: 3, 4: 3})
+
+    def side(base):
+        common = {(p, base + i) for p in range(50) for i in range(3) if rng.random() < 0.9}
+        rare = {(p, base + 50 + rng.randint(0, 150)) for p in range(50) for _ in range(4)}
+        rows = [(p, i, f := rng.randint(0, 100), f + rng.randint(0, 50)) for p, i in sorted(common | rare)]
+        return frame(spark, rows)
+
+    left, right = side(0), side(1000)
+    count = lambda a, b, small=False: discovery._followed(a, b, 0, True, small)
+    kept = groups.prune_sides(left, right, count, 4)
+    assert kept[0].count() < left.count() and kept[1].count() < right.count()
+    assert groups.top(count(*kept), ["a", "b"], 4).collect() == groups.top(count(left, right), ["a", "b"], 4).collect()
