@@ -1,40 +1,66 @@
 """Connected components of an edge table, by contraction.
 
-Each round every node picks the neighbour (or itself) with the lowest mixed number and is merged
-into it; edges are renamed, loops and repeats go. The mix changes with the round, so that an ordered
-chain shrinks by a constant share as well; a star is gone after one round. What is shuffled is
-edges, reduced per node before the shuffle; only the count of edges left reaches the driver.
+Each round every node is renamed to one of its neighbours or keeps its name; edges follow, loops and
+repeats go. In even rounds a node takes the least name among itself and its neighbours, so a star
+around its least node is gone at once. In odd rounds nodes with one neighbour take its name and the
+others go by a mixed number, so stars around any node and ordered chains shrink as well. What is
+shuffled is edges, reduced per node before the shuffle; only a count of edges reaches the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from caseweave.storage import keep
 
 
+def keep_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The written table and its rows, counted while it is written."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    return keep(df.observe(seen, F.count(F.lit(1)).alias("n")), name), seen.get["n"]
+
+
+def _edges(df: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    return df.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for all nodes of the edges (a long, b long); component is the least node reachable.
 
-    Null ends are dropped. No edges give no rows.
+    Edges with a null end and loops are dropped. No edges give no rows.
     """
-    left = keep(edges.filter("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
+    left, n = keep_counted(_edges(edges), f"{name}-edges")
+    if not n:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     steps: list[DataFrame] = []
-    while left.limit(1).count():
-        rank = F.xxhash64(F.col("v"), F.lit(len(steps)))
-        both = left.select(F.col("a").alias("u"), F.col("b").alias("v")).union(left.select(F.col("b").alias("u"), F.col("a").alias("v"))).withColumn("r", rank)
-        own = F.xxhash64(F.col("u"), F.lit(len(steps)))
-        lowest = both.groupBy("u").agg(F.min(F.struct("r", "v")).alias("m"))
-        step = keep(lowest.select("u", F.when(F.col("m.r") < own, F.col("m.v")).otherwise(F.col("u")).alias("to")), f"{name}-step")
-        renamed = left.join(step.select(F.col("u").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("u").alias("b"), F.col("to").alias("y")), "b")
-        left = keep(renamed.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-edges")
+    while n:
+        both = left.select(F.col("a").alias("u"), F.col("b").alias("v")).union(left.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        if len(steps) % 2 == 0:
+            to = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("to"))
+        else:
+            mixed = lambda c: F.xxhash64(F.col(c), F.lit(len(steps)))  # noqa: B023, E731
+            low = both.withColumn("r", mixed("v")).groupBy("u").agg(F.min(F.struct("r", "v")).alias("m"), F.count("*").alias("degree"))
+            to = low.select("u", F.when((F.col("degree") == 1) | (F.col("m.r") < mixed("u")), F.col("m.v")).otherwise(F.col("u")).alias("to"))
+        step = keep(to, f"{name}-step")
         steps.append(step)
-    if not steps:
-        return edges.sparkSession.createDataFrame([], "node long, component long")
+        renamed = left.join(step.select(F.col("u").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("u").alias("b"), F.col("to").alias("y")), "b")
+        left, n = keep_counted(_edges(renamed, "x", "y"), f"{name}-edges")
     roots = steps[0].select(F.col("u").alias("node"), F.col("to").alias("root"))
     for step in steps[1:]:
         roots = roots.join(step.select(F.col("u").alias("root"), F.col("to").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
     roots = keep(roots, f"{name}-roots")
     least = roots.groupBy("root").agg(F.min("node").alias("component"))
-    return roots.join(least, "root").select("node", "component")
+    return keep(roots.join(least, "root").select("node", "component"), name)
+
+
+def merge(groups: DataFrame, edges: DataFrame, name: str = "components") -> DataFrame:
+    """Components after more edges: only the edges between different components are worked on."""
+    own = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    named = edges.join(own("a"), "a", "left").join(own("b"), "b", "left")
+    between = components(named.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")), f"{name}-between")
+    renamed = groups.join(between.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    fresh = between.join(groups.select("node"), "node", "left_anti")
+    return keep(renamed.union(fresh.select("node", "component")), name)

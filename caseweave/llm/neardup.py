@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseweave.llm import words as W
-from caseweave.llm.graph import components
+from caseweave.llm.graph import components, keep_counted, merge
 from caseweave.storage import keep
 
 BINS = 128
@@ -134,10 +134,6 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b").mapInArrow(confirmed, "a long, b long")
 
 
-def _all(links: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.union, links)
-
-
 def _candidates(described: DataFrame, copies: DataFrame) -> DataFrame:
     """(key, rep) of the buckets that hold several classes; copies stay out, their class is there."""
     stands = described.filter("n_shingles > 0 and doc_id is not null").join(copies.select(F.col("a").alias("doc_id"), "high", "low"), ["doc_id", "high", "low"], "left_anti")
@@ -153,35 +149,37 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMI
     classes = whole.groupBy("n_shingles", "high", "low").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
     copies = whole.join(classes, ["n_shingles", "high", "low"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), "high", "low")
     copies = keep(copies, "copies")
-    links = [copies.select("a", "b")]  # a star around the least doc_id of each class
-
-    members = keep(_candidates(described, copies), "members")
+    members, n = keep_counted(_candidates(described, copies), "members")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = keep(texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
 
     # first round: each class against the centre that it shares most buckets with
     star = members.groupBy("key").agg(F.min("rep").alias("b"))
     tries = members.join(star, "key").filter("rep <> b").groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("n"))
-    pairs = keep(tries.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    pairs = tries.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    pairs = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     tested = [pairs]
-    links.append(keep(confirm(pairs, texts, k, percent), "links"))
+    links = keep(confirm(pairs, texts, k, percent), "links")
+    found = components(copies.select("a", "b").union(links), "near")
 
-    centres, members = 1, members.select("key", "rep")
-    while True:
-        found = components(_all(links), "near")
+    centres = 1
+    while n:
         placed = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-        placed = keep(placed.join(mixed, "key"), "open")
-        if not placed.limit(1).count():
+        placed, n = keep_counted(placed.join(mixed, "key"), "open")
+        if not n:
             break
         # other centres: the members of each bucket with the lowest mixed numbers
         by_number = Window.partitionBy("key").orderBy(F.xxhash64("rep", F.lit(len(tested))), "rep")
         chosen = placed.withColumn("place", F.row_number().over(by_number)).filter(F.col("place") <= centres)
         chosen = keep(chosen.select("key", F.col("rep").alias("centre"), F.col("component").alias("other")), "centres")
         tries = placed.join(chosen, "key").filter("component <> other").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-        pairs = keep(tries.join(_all(tested), ["a", "b"], "left_anti"), "pairs")
+        pairs, new = keep_counted(tries.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti"), "pairs")
         tested.append(pairs)
-        links.append(keep(confirm(pairs, texts, k, percent), "links"))
+        if new:
+            links, new = keep_counted(confirm(pairs, texts, k, percent), "links")
+        if new:
+            found = merge(found, links, "near")
         # a centre has met all members of its bucket and leaves it
         members = placed.join(chosen.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep")
         centres = min(4 * centres, MOST_CENTRES)
