@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caseweave.llm import licenses, neardup, pii, quality, rules, tokens, vectors
+from caseweave.llm import licenses, mixing, neardup, pii, quality, rules, shards, tokens, vectors
 from caseweave.storage import shared_folder
 
 
@@ -22,6 +22,14 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_documents(spark, path)
 
 
+def op3_byte_limited_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard(table(spark, sf_dir, "documents"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
