@@ -114,7 +114,7 @@ def _names(columns: list[str]) -> dict[str, str]:
     return {m: m + mark for m in (*MARGINALS, "tokens", "weight", "probability", "sampled")}
 
 
-def calibrate(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float | None = None, topic: Column | None = None) -> tuple[DataFrame, dict[str, str]]:
+def calibrate(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float | None = None, topic: Column | None = None, power: float = FLATTEN) -> tuple[DataFrame, dict[str, str]]:
     """All documents with marginals, tokens, weight per token, probability and the decision, under the returned names."""
     name = _names(docs.columns)
     text = F.col("text")
@@ -124,7 +124,7 @@ def calibrate(docs: DataFrame, targets: dict[str, DataFrame] | None = None, shar
     )
     cells = dealt.groupBy(*(F.col(name[m]).alias(m) for m in MARGINALS)).agg(F.sum(name["tokens"]).alias("tokens"))
     cells, _ = keep_counted(cells, "cells")
-    raked = keep(probabilities(rake(cells, targets or flattened(cells)), share), "probabilities")
+    raked = keep(probabilities(rake(cells, targets or flattened(cells, power)), share), "probabilities")
     rates = raked.select(*(F.col(m).alias(name[m]) for m in MARGINALS), (F.col("weight") / F.col("tokens")).alias(name["weight"]), F.col("probability").alias(name["probability"]))
     number = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(4)), 11) / F.lit(float(1 << 53))
     return dealt.join(rates, [name[m] for m in MARGINALS]).withColumn(name["sampled"], number < F.col(name["probability"])), name
@@ -136,7 +136,7 @@ def report(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share:
     return dealt.select("doc_id", *(F.col(new).alias(old) for old, new in name.items()))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float | None = None, power: float = FLATTEN) -> DataFrame:
     """The sampled documents, with the columns they came with."""
-    dealt, name = calibrate(docs, targets, share)
+    dealt, name = calibrate(docs, targets, share, power=power)
     return dealt.filter(name["sampled"]).select(*docs.columns)

@@ -21,17 +21,16 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseweave.llm import words as W
+from caseweave.llm.stretches import Stretches
 
 RANK_BITS = 512
 BLOCK_TOKENS = 1 << 18
-CACHED_WORDS = 1 << 20
 BLOCKS = "shard int, block int, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
@@ -89,12 +88,12 @@ class Packed:
         return out
 
 
-class ByteBpe:
+class ByteBpe(Stretches):
     """A byte-level BPE tokenizer of the tokenizers library, asked once for each distinct stretch.
 
     The pre-tokenizer always begins a new word at a space that a character other than white space
     follows, so a text can be cut there and the ids of its stretches joined (tested against whole
-    texts). Stretches recur; their ids are kept, up to ``CACHED_WORDS`` of them per worker.
+    texts).
     """
 
     #: First bytes of what may be white space after a space: no cut there.
@@ -108,34 +107,19 @@ class ByteBpe:
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
-        self.cut = np.ones(256, bool)
-        self.cut[self._NO_CUT] = False
-        self.code = W.alphabet(b"").code
-        self._forget()
-
-    def _forget(self) -> None:
-        self.place: dict[int, int] = {}
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.begin = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def _learn(self, keys: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n, known = len(keys), len(self.place)
-        while known + n > len(self.begin):
-            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.begin[known : known + n] = self.used + np.cumsum(sizes) - sizes
-        self.size[known : known + n] = sizes
-        self.used += len(ids)
-        self.place.update(zip(keys, range(known, known + n), strict=True))
+        self.may_cut = np.ones(256, bool)
+        self.may_cut[self._NO_CUT] = False
+        super().__init__()
+
+    def cuts(self, data: np.ndarray) -> np.ndarray:
+        cut = np.zeros(len(data) + 1, bool)
+        cut[:-2] = (data[:-1] == 0x20) & self.may_cut[data[1:]]
+        return cut
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _ask(self, keys: list[int], stretches: list[bytes]) -> None:
+    def ask(self, keys: list[int], stretches: list[bytes]) -> None:
         plain = [b[:1] == b" " and b.count(b" ") == 1 for b in stretches]
         simple = [i for i, yes in enumerate(plain) if yes]
         other = [i for i, yes in enumerate(plain) if not yes]
@@ -151,33 +135,6 @@ class ByteBpe:
             found = self._ids([stretches[i].decode() for i in other])
             self._learn([keys[i] for i in other], np.concatenate(found), np.array([len(x) for x in found]))
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, and how many each text has."""
-        n = len(offsets) - 1
-        cut = np.zeros(len(data) + 1, bool)
-        cut[:-2] = (data[:-1] == 0x20) & self.cut[data[1:]]
-        cut[offsets] = True
-        start = np.flatnonzero(cut[:-1])
-        if not len(start):
-            return np.zeros(0, np.uint32), np.zeros(n, np.int64)
-        end = np.append(start[1:], len(data))
-        owner = np.searchsorted(offsets, start, side="right") - 1
-        codes, keys = pd.factorize(W.hash_spans(data, start, end, self.code))
-        if len(self.place) + len(keys) > CACHED_WORDS:
-            self._forget()
-        known = keys.tolist()
-        place = np.fromiter((self.place.get(k, -1) for k in known), np.int64, len(known))
-        if (place < 0).any():
-            example = np.zeros(len(known), np.int64)
-            example[codes] = np.arange(len(codes))
-            new = np.flatnonzero(place < 0)
-            self._ask([known[i] for i in new], [data[start[j] : end[j]].tobytes() for j in example[new]])
-            place = np.fromiter(map(self.place.__getitem__, known), np.int64, len(known))
-        sizes = self.size[place][codes]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.begin[place][codes] - ends + sizes, sizes) + np.arange(ends[-1])]
-        return ids, np.bincount(owner, weights=sizes, minlength=n).astype(np.int64)
-
 
 _loaded: dict[str, ByteBpe] = {}
 
