@@ -56,14 +56,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
 
     A target is a table (value, share); its shares are taken relative to their sum.
     """
-    wanted = {}
+    wanted, total = {}, cells.agg(F.sum("tokens")).scalar()
     for m in MARGINALS:
         own = cells.groupBy(m).agg(F.sum("tokens").alias("has"))
-        both = own.join(targets[m].select(F.col("value").alias(m), "share"), m, "left")
-        total = own.agg(F.sum("has").alias("all"))
-        both = both.crossJoin(F.broadcast(total)).withColumn("share", F.coalesce("share", F.col("has") / F.col("all")))  # one row
-        whole = both.agg(F.sum("share").alias("whole"))
-        wanted[m] = keep(both.crossJoin(F.broadcast(whole)).select(m, (F.col("share") / F.col("whole") * F.col("all")).alias("goal")), f"goal-{m}")
+        both = own.join(targets[m].select(F.col("value").alias(m), "share"), m, "left").withColumn("share", F.coalesce("share", F.col("has") / total))
+        both = keep(both.select(m, "share"), f"share-{m}")
+        wanted[m] = keep(both.select(m, (F.col("share") / both.agg(F.sum("share")).scalar() * total).alias("goal")), f"goal-{m}")
     cells = cells.withColumn("weight", F.col("tokens").cast("double"))
     for _ in range(sweeps):
         off = F.lit(0.0)

@@ -224,19 +224,16 @@ def site_rates(scores: DataFrame, heads: dict[str, Head]) -> DataFrame:
     p = {t: _logistic(F.col(f"sum_{t}") + _logit(F.lit(heads[t].rate))) for t in TARGETS}
     paths = keep(scores.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), *(F.sum(p[t]).alias(t) for t in TARGETS)), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), *(F.sum(t).alias(f"host_{t}") for t in TARGETS))
-    whole = hosts.agg(F.sum("host_n").alias("all_n"), *(F.sum(f"host_{t}").alias(f"all_{t}") for t in TARGETS))
-    hosts = hosts.crossJoin(F.broadcast(whole))  # one row
-    host_rate = {t: F.col(f"host_{t}") / F.col("host_n") for t in TARGETS}
-    all_rate = {t: F.col(f"all_{t}") / F.col("all_n") for t in TARGETS}
-    strength = hosts.agg(*(_strength(F.col("host_n"), host_rate[t], all_rate[t]).alias(f"k_{t}") for t in TARGETS))
-    hosts = hosts.crossJoin(F.broadcast(strength)).select(
-        "host", *((((F.col(f"host_{t}")) + F.col(f"k_{t}") * all_rate[t]) / (F.col("host_n") + F.col(f"k_{t}"))).alias(f"prior_{t}") for t in TARGETS)
-    )
+    whole = hosts.agg(F.sum("host_n").alias("n"), *(F.sum(f"host_{t}").alias(t) for t in TARGETS)).first()
+    n = whole["n"] or 1.0
+    mean = {t: F.lit((whole[t] or 0.0) / n) for t in TARGETS}
+    strength = hosts.agg(*(_strength(F.col("host_n"), F.col(f"host_{t}") / F.col("host_n"), mean[t]).alias(t) for t in TARGETS)).first()
+    k = {t: F.lit(strength[t] or 1.0) for t in TARGETS}
+    hosts = hosts.select("host", *(((F.col(f"host_{t}") + k[t] * mean[t]) / (F.col("host_n") + k[t])).alias(f"prior_{t}") for t in TARGETS))
     joined = paths.join(hosts, paths["host"].eqNullSafe(hosts["host"])).drop(hosts["host"])
-    strength = joined.agg(*(_strength(F.col("n"), F.col(t) / F.col("n"), F.col(f"prior_{t}")).alias(f"k_{t}") for t in TARGETS))
-    return joined.crossJoin(F.broadcast(strength)).select(
-        "host", "path", *(((F.col(t) + F.col(f"k_{t}") * F.col(f"prior_{t}")) / (F.col("n") + F.col(f"k_{t}"))).alias(f"rate_{t}") for t in TARGETS)
-    )
+    strength = joined.agg(*(_strength(F.col("n"), F.col(t) / F.col("n"), F.col(f"prior_{t}")).alias(t) for t in TARGETS)).first()
+    k = {t: F.lit(strength[t] or 1.0) for t in TARGETS}
+    return joined.select("host", "path", *(((F.col(t) + k[t] * F.col(f"prior_{t}")) / (F.col("n") + k[t])).alias(f"rate_{t}") for t in TARGETS))
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:

@@ -70,8 +70,8 @@ def directory(placed: DataFrame) -> DataFrame:
     """(shard, depth, shard_bytes, n_docs, entries): the buckets, and how many entries of a directory
     as deep as the deepest bucket point to each."""
     buckets = placed.groupBy("shard", "depth", "shard_bytes").agg(F.count("*").alias("n_docs"))
-    deepest = buckets.agg(F.max("depth").alias("deepest"))
-    return buckets.crossJoin(F.broadcast(deepest)).select("shard", "depth", "shard_bytes", "n_docs", F.pow(F.lit(2.0), F.col("deepest") - F.col("depth")).alias("entries"))  # one row
+    deepest = buckets.agg(F.max("depth")).scalar()
+    return buckets.withColumn("entries", F.pow(F.lit(2.0), deepest - F.col("depth")))
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
