@@ -25,20 +25,6 @@ def year_of(date) -> Column:
     return F.year(date).cast("long")
 
 
-def age_in(date, year_of_birth) -> Column:
-    """Age by calendar year, as the queries define it."""
-    return year_of(date) - F.col(year_of_birth) if isinstance(year_of_birth, str) else year_of(date) - year_of_birth
-
-
-def span_days(*dates) -> Column:
-    """Days between the earliest and the latest of the dates; nulls are skipped."""
-    return F.datediff(F.greatest(*dates), F.least(*dates))
-
-
-def intervals_overlap(start_a, end_a, start_b, end_b) -> Column:
-    return (F.col(start_a) <= F.col(end_b)) & (F.col(end_a) >= F.col(start_b))
-
-
 def date_range(start, end) -> Column:
     """Inclusive range; a null end is open."""
     return F.struct(

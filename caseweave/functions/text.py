@@ -37,10 +37,7 @@ def refuses(text: str | Column) -> Column:
     return hit
 
 
-def same_name(left: Column, right: Column) -> Column:
-    return F.lower(left) == F.lower(right)
-
-
 def sql_literal(value: str | Column) -> Column:
-    """A string value as it is written in SQL text: quoted, inner quotes doubled."""
-    return F.concat(F.lit("'"), F.replace(as_column(value), F.lit("'"), F.lit("''")), F.lit("'"))
+    """A string value as Spark SQL text writes it: quoted, backslashes and inner quotes doubled."""
+    doubled = F.replace(as_column(value), F.lit("\\"), F.lit("\\\\"))
+    return F.concat(F.lit("'"), F.replace(doubled, F.lit("'"), F.lit("''")), F.lit("'"))

@@ -1,73 +1,88 @@
 """Items that occur together inside a group (a patient, or a patient on one day).
 
-Sets of k items are built by equi-joining the group with itself k - 1 times, items in rising order.
-Two things keep that affordable:
+Sets of k items are built by equi-joining the group with itself k - 1 times, each set in one order
+only. Two things keep that affordable:
 
 * ``prune_items`` drops, exactly, every item that cannot be part of a top-k set. No set is more
   frequent than its rarest item, so an item below the k-th best count found so far is out.
 * Groups hold each item once, which bounds them by the vocabulary whatever the number of records.
-  One that is still larger than ``PART_ROWS`` is cut into parts: each part joins its own share of
-  the left rows with all right rows of the group, so that many tasks work on it and no pair is lost.
+  Groups that would still give more than ``SETS_PER_TASK`` sets are cut into parts: each part joins
+  its own share of the left rows with all right rows of the group, so that many tasks work on it and
+  no pair is lost. Group sizes are counted by aggregation, and only large groups are looked up.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-PART_ROWS = 512
-# Number of leading items whose sets give the first lower bound; C(seeds, size) stays near 2,000.
-SEEDS = {2: 64, 3: 24, 4: 16}
+from caseweave.storage import keep
 
+SETS_PER_TASK = 1_000_000
+SEED_SETS = 2_000  # sets of the leading items that give the first lower bound, about
 
-def shuffle_width(df: DataFrame) -> int:
-    """Partitions for a join that multiplies rows: its small input must not be merged into few tasks."""
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
+def seeds(size: int) -> int:
+    """The number of leading items that have about ``SEED_SETS`` sets of a size."""
+    n = size
+    while math.comb(n + 1, size) <= SEED_SETS:
+        n += 1
+    return n
 
-def all_small(rows: DataFrame) -> bool:
-    """True when no patient has more than ``PART_ROWS`` rows, so that no group need be cut; one number is fetched."""
-    largest = rows.groupBy("person_id").agg(F.count("*").alias("rows")).agg(F.max("rows")).first()[0]
-    return (largest or 0) <= PART_ROWS
 
+def _cut(rows: DataFrame, keys: Sequence[str], parts: DataFrame) -> DataFrame:
+    """Add ``parts``, 1 for groups that are not in the table of large groups."""
+    return rows.join(parts, [*keys], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
 
-def with_parts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add ``parts``: into how many parts the group of a row is cut."""
-    size = F.count("*").over(Window.partitionBy(*keys))
-    return rows.withColumn("parts", F.ceil(size / PART_ROWS).cast("int"))
 
-
-def scattered(rows: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
+def _scattered(rows: DataFrame, by: str) -> DataFrame:
     """Each row in one part of its group, by a hash of ``by``."""
-    part = F.pmod(F.hash(by), F.col("parts"))
-    return rows.withColumn("part", part).drop("parts").repartition(shuffle_width(rows), *keys, "part")
+    return rows.withColumn("part", F.pmod(F.hash(by), F.col("parts"))).drop("parts")
 
 
-def repeated(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _repeated(rows: DataFrame) -> DataFrame:
     """Each row once in every part of its group."""
-    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    return rows.withColumn("part", part).drop("parts").repartition(shuffle_width(rows), *keys, "part")
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+
+def _sets_of(n: Column, size: int) -> Column:
+    """How many sets of a size n items have, about."""
+    return F.pow(n, F.lit(float(size))) / math.factorial(size)
 
 
-def item_sets(groups: DataFrame, keys: Sequence[str], size: int, small: bool = False) -> DataFrame:
-    """All rising item tuples of every group: keys, i1 .. i<size>.
+def large_groups(rows: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
+    """(keys, parts) of groups that are to be cut; at most one part per row."""
+    n = F.count("*")
+    sized = rows.groupBy(*keys).agg(n.alias("rows"))
+    parts = F.least(F.col("rows"), F.ceil(_sets_of(F.col("rows"), size) / SETS_PER_TASK)).cast("int")
+    return sized.select(*keys, parts.alias("parts")).filter("parts > 1")
 
-    Any further column c of ``groups`` comes along as c1 .. c<size>. ``small`` says that no group
-    is large, as when only the seed items are left; then groups are not measured and not cut.
+
+def item_sets(groups: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
+    """All item tuples of every group, items in rising order: keys, i1 .. i<size>.
+
+    Any further column c of ``groups`` comes along as c1 .. c<size>. With a column ``fresh`` (1 or 0)
+    only sets with a fresh item are built: fresh items come first, then the others, both rising, and
+    the first item must be fresh. So the join starts from the few fresh rows and nothing is thrown away.
     """
     keys = list(keys)
     extra = [c for c in groups.columns if c not in (*keys, "item")]
-    sized = groups.withColumn("parts", F.lit(1)) if small else with_parts(groups, keys)
+    sized = _cut(groups, keys, large_groups(groups, keys, size))
 
     def numbered(rows: DataFrame, n: int) -> DataFrame:
         return rows.select(*keys, "part", F.col("item").alias(f"i{n}"), *[F.col(c).alias(f"{c}{n}") for c in extra])
 
-    out = numbered(scattered(sized, keys, "item"), 1)
-    others = repeated(sized, keys)
+    def rising(n: int) -> str:
+        if "fresh" not in extra:
+            return f"i{n - 1} < i{n}"
+        return f"fresh{n - 1} > fresh{n} OR (fresh{n - 1} = fresh{n} AND i{n - 1} < i{n})"
+
+    out = numbered(_scattered(sized.filter("fresh = 1") if "fresh" in extra else sized, "item"), 1)
+    others = _repeated(sized)
     for n in range(2, size + 1):
-        out = out.join(numbered(others, n), [*keys, "part"]).filter(F.col(f"i{n - 1}") < F.col(f"i{n}"))
+        out = out.join(numbered(others, n), [*keys, "part"]).filter(rising(n))
     return out.drop("part")
 
 
@@ -75,20 +90,26 @@ def set_columns(size: int) -> list[str]:
     return [f"i{n}" for n in range(1, size + 1)]
 
 
-def pairs_across(left: DataFrame, right: DataFrame, keep: Column, small: bool = False) -> DataFrame:
-    """Rows of two per-patient frames joined on person_id where ``keep`` holds.
+def pairs_across(left: DataFrame, right: DataFrame, wanted: Column) -> DataFrame:
+    """Rows of two per-patient frames joined on person_id where ``wanted`` holds.
 
-    Apart from person_id the frames share no column name; the item column of ``left`` is a.
-    A patient with many left rows is cut into parts, and the right rows follow (not when ``small``).
+    Apart from person_id the frames share no column name; the item column of ``left`` is a. A patient
+    with many pairs is cut into parts of the left rows, or of the right rows where these are more.
     """
-    if small:
-        first, second = (side.repartition(shuffle_width(left), "person_id") for side in (left, right))
-        return first.join(second, "person_id").filter(keep)
-    sized = with_parts(left, ["person_id"])
-    cut = sized.filter("parts > 1").select("person_id", "parts").distinct()
-    right = right.join(cut, "person_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    first, second = scattered(sized, ["person_id"], "a"), repeated(right, ["person_id"])
-    return first.join(second, ["person_id", "part"]).filter(keep).drop("part")
+    key = ["person_id"]
+    sizes = [side.groupBy(*key).agg(F.count("*").alias(name)) for side, name in ((left, "lefts"), (right, "rights"))]
+    sized = sizes[0].join(sizes[1], key).withColumn("parts", F.ceil(F.col("lefts") * F.col("rights") / SETS_PER_TASK).cast("int"))
+    share = F.least(F.col("parts"), F.greatest("lefts", "rights").cast("int"))
+    large = sized.filter("parts > 1").select(*key, share.alias("parts"), (F.col("lefts") >= F.col("rights")).alias("by_left"))
+
+    def dealt(rows: DataFrame, item: str, own: Column) -> DataFrame:
+        tagged = rows.join(large, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("by_left", F.coalesce("by_left", F.lit(True)))
+        one = F.array(F.pmod(F.hash(item), F.col("parts")))
+        every = F.sequence(F.lit(0), F.col("parts") - 1)
+        return tagged.withColumn("part", F.explode(F.when(own, one).otherwise(every))).drop("parts", "by_left")
+
+    first, second = dealt(left, "a", F.col("by_left")), dealt(right, "b", ~F.col("by_left"))
+    return first.join(second, [*key, "part"]).filter(wanted).drop("part")
 
 
 def count_sets(sets: DataFrame, columns: Sequence[str], unique: bool) -> DataFrame:
@@ -116,7 +137,7 @@ def _floor(seeded: DataFrame, k: int) -> int:
 
 
 def _leaders(support: DataFrame, size: int) -> DataFrame:
-    return support.orderBy(F.desc("n"), "item").limit(SEEDS[size]).select("item")
+    return support.orderBy(F.desc("n"), "item").limit(seeds(size)).select("item")
 
 
 def _reach(rows: DataFrame, support: DataFrame, floor: int) -> DataFrame:
@@ -125,30 +146,59 @@ def _reach(rows: DataFrame, support: DataFrame, floor: int) -> DataFrame:
     return rows.join(support.filter(F.col("n") >= floor).select("item"), "item", "left_semi")
 
 
-def prune_items(
-    rows: DataFrame, count: Callable[[DataFrame, bool], DataFrame], size: int, k: int | None
-) -> DataFrame:
+def prune_items(rows: DataFrame, count: Callable[[DataFrame], DataFrame], size: int, k: int | None) -> DataFrame:
     """Rows whose item can still be part of one of the k most frequent sets; exact.
 
-    ``count(rows, small)`` gives the set counts (column ``n``) of event rows, and must never give a
-    set more patients than one of its items has. It is run first on the few most common items: the
+    ``count(rows)`` gives the set counts (column ``n``) of event rows, and must never give a set
+    more patients than one of its items has. It is run first on the few most common items: the
     k-th best count there is a floor that every wanted set reaches, and so must its items.
     ``rows`` is read several times and should be a kept table.
     """
     if k is None:
         return rows
     support = item_support(rows)
-    seeded = count(rows.join(_leaders(support, size), "item", "left_semi"), True)
+    seeded = count(rows.join(_leaders(support, size), "item", "left_semi"))
     return _reach(rows, support, _floor(seeded, k))
 
 
-def prune_sides(
-    left: DataFrame, right: DataFrame, count: Callable[[DataFrame, DataFrame, bool], DataFrame], k: int | None
-) -> tuple[DataFrame, DataFrame]:
-    """The same for pairs with one item from each of two event frames."""
-    if k is None:
-        return left, right
-    sides = [(rows, item_support(rows)) for rows in (left, right)]
-    seeds = [rows.join(_leaders(support, 2), "item", "left_semi") for rows, support in sides]
-    floor = _floor(count(*seeds, True), k)
-    return tuple(_reach(rows, support, floor) for rows, support in sides)
+def frequent_sets(baskets: DataFrame, size: int, k: int) -> DataFrame:
+    """Counts (i1 .. i<size>, n) of sets of three or four labels; holds all of the k most frequent.
+
+    ``baskets`` has person_id, item and label: sets are built of items, in their order, and counted
+    by label; without two items of one label these are the same. No set is more frequent than its
+    rarest pair, so pairs below a floor are dropped and sets are grown from the pairs that are left.
+    The floor is the k-th best count among sets of leading items, or else 2, if so many sets reach it;
+    only if neither holds all sets are counted. It should be a kept table.
+    """
+
+    def labelled(sets: DataFrame, n: int) -> DataFrame:
+        return sets.select("person_id", *[F.col(f"label{x}").alias(f"i{x}") for x in range(1, n + 1)])
+
+    def all_sets(rows: DataFrame, n: int) -> DataFrame:
+        return count_sets(labelled(item_sets(rows, ["person_id"], n), n), set_columns(n), unique=False)
+
+    def grown(floor: int) -> DataFrame:
+        pairs = item_sets(baskets, ["person_id"], 2)
+        frequent = count_sets(labelled(pairs, 2), set_columns(2), unique=False).filter(F.col("n") >= floor)
+        frequent = keep(frequent.select(F.col("i1").alias("x"), F.col("i2").alias("y")), "pairs")
+
+        def only(sets: DataFrame, a: int, b: int) -> DataFrame:
+            both = (F.col(f"label{a}") == F.col("x")) & (F.col(f"label{b}") == F.col("y"))
+            return sets.join(frequent, both, "left_semi")
+
+        pairs = keep(only(pairs, 1, 2), "pair-rows")
+        out = pairs
+        for n in range(3, size + 1):
+            more = pairs.select("person_id", "i1", F.col("i2").alias(f"i{n}"), F.col("label2").alias(f"label{n}"))
+            out = out.join(more, ["person_id", "i1"]).filter(F.col(f"i{n - 1}") < F.col(f"i{n}"))
+            for before in range(2, n):
+                out = only(out, before, n)
+        return count_sets(labelled(out, size), set_columns(size), unique=False).filter(F.col("n") >= floor)
+
+    support = baskets.select("person_id", F.col("label").alias("item")).distinct().groupBy("item").agg(F.count("*").alias("n"))
+    leading = baskets.join(_leaders(support, size).withColumnRenamed("item", "label"), "label", "left_semi")
+    floor = _floor(all_sets(leading, size), k)
+    if floor > 1:
+        return grown(floor)
+    guess = keep(grown(2), "sets")
+    return guess if guess.limit(k).count() == k else all_sets(baskets, size)

@@ -24,13 +24,13 @@ def cell(day: Column | str) -> Column:
 
 
 def active_on_start_days(rows: DataFrame, keys: Sequence[str], open_ended: bool = False) -> DataFrame:
-    """Rows (keys, item, first, last) in day numbers -> (keys, day, item, first, last), distinct.
+    """Rows (keys, item, first, last) in day numbers -> (keys, day, item, first, last); rows should be distinct.
 
     Rows with an empty interval or a missing start are dropped. With ``open_ended`` an interval may
     outlive the data; it then occupies no cell after the last start day, as no later day is looked at.
     """
     keys = list(keys)
-    rows = rows.filter("first <= last").select(*keys, "item", "first", "last").distinct()
+    rows = rows.filter("first <= last").select(*keys, "item", "first", "last")
     reach = F.least(F.col("last"), rows.agg(F.max("first")).scalar()) if open_ended else F.col("last")
     spans = rows.withColumn("cell", F.explode(F.sequence(cell("first"), cell(reach))))
     days = rows.select(*keys, F.col("first").alias("day")).distinct().withColumn("cell", cell("day"))
@@ -42,14 +42,23 @@ def active_on_start_days(rows: DataFrame, keys: Sequence[str], open_ended: bool
 
 
 def overlap_groups(rows: DataFrame) -> DataFrame:
-    """Groups for ``item_sets``: one row per (person, day, item); fresh = the item starts on that day."""
+    """Groups for ``item_sets``: one row per (person, day, item); fresh = the item starts on that day.
+
+    Only the longest of the events of an item with the same start matters here. A set is built on
+    the days on which one of its members starts, so each common period is met on its first day.
+    """
+    longest = rows.filter("first <= last").groupBy("person_id", "item", "first").agg(F.max("last").alias("last"))
     return (
-        active_on_start_days(rows, ["person_id"])
+        active_on_start_days(longest, ["person_id"])
         .groupBy("person_id", "day", "item")
         .agg(F.max((F.col("first") == F.col("day")).cast("int")).alias("fresh"))
     )
 
 
-def any_fresh(size: int) -> Column:
-    """A set is reported on the day its last member starts, not again on each later common day."""
-    return F.greatest(*[F.col(f"fresh{n}") for n in range(1, size + 1)]) == 1
+def in_order(size: int) -> list[Column]:
+    """The items of sets that were built fresh items first, in rising order as i1 .. i<size>."""
+    items = [F.col(f"i{n}") for n in range(1, size + 1)]
+    if size == 2:
+        return [F.least(*items).alias("i1"), F.greatest(*items).alias("i2")]
+    rising = F.sort_array(F.array(*items))
+    return [rising[n].alias(f"i{n + 1}") for n in range(size)]

@@ -56,11 +56,11 @@ def having_all_within(hits: DataFrame, size: int, days: int) -> DataFrame:
 def having_after(hits: DataFrame, earlier: int, later: int, gap: int, strict: bool) -> DataFrame:
     """Some hit of slot ``later`` more than (or at least) ``gap`` days after one of slot ``earlier``.
 
-    The first of the one and the last of the other decide it.
+    The first of the one and the last of the other decide it; hits carry their ``first`` and ``last`` day.
     """
     ends = hits.groupBy(*KEY).agg(
-        F.min(F.when(F.col("slot") == earlier, F.col("day"))).alias("first"),
-        F.max(F.when(F.col("slot") == later, F.col("day"))).alias("last"),
+        F.min(F.when(F.col("slot") == earlier, F.col("first"))).alias("first"),
+        F.max(F.when(F.col("slot") == later, F.col("last"))).alias("last"),
     )
     apart = F.col("last") - F.col("first")
     return ends.filter(apart > gap if strict else apart >= gap).select(*KEY)
@@ -74,7 +74,7 @@ def having_short_overlap(hits: DataFrame, size: int, days: int) -> DataFrame:
     those that start on that day. The period is short when the earliest end is near, and one hit
     must start on the day: that hit may or may not be the one that ends first.
     """
-    rows = candidates(hits.filter("first <= last"), size).select(*KEY, F.col("slot").alias("item"), "first", "last")
+    rows = candidates(hits.filter("first <= last"), size).select(*KEY, F.col("slot").alias("item"), "first", "last").distinct()
     active = active_on_start_days(rows, KEY)
     starts = F.col("first") == F.col("day")
     aggregates = []

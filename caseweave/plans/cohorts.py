@@ -11,6 +11,7 @@ and all instances of a cohort are evaluated by one Spark job.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -170,19 +171,45 @@ def slot_rows(instances: DataFrame) -> DataFrame:
     )
 
 
-def hits(tables: Tables, cohort: Cohort, instances: DataFrame) -> DataFrame:
-    """Events in the concept set of a slot: (instance_id, slot, person_id, start, end)."""
-    places = slot_rows(instances)
+def hits(tables: Tables, cohort: Cohort, instances: DataFrame, reduce: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Events in the concept set of a slot: (instance_id, slot, person_id, ...).
+
+    Instances share concepts. Each distinct concept is resolved once, its events are reduced by
+    ``reduce`` (rows code, person_id, start, end -> code, person_id, ...), and only what is left goes
+    out to the instances and slots that ask for the concept.
+    """
+    places = instances.select("instance_id", F.posexplode("codes").alias("slot", "code"))
     out = None
     for kind, variant in dict.fromkeys(cohort.slots):
-        mine = [n for n, slot in enumerate(cohort.slots) if slot == (kind, variant)]
-        chosen = places.filter(F.col("slot").isin(mine))
-        sets = resolve_concepts(tables, chosen, variant).withColumnRenamed("concept_id", "item")
-        found = events(tables, kind).join(sets, "item").drop("item")
+        mine = places.filter(F.col("slot").isin([n for n, slot in enumerate(cohort.slots) if slot == (kind, variant)]))
+        codes = mine.select(F.col("code").alias("instance_id"), F.lit(0).alias("slot"), "code.vocabulary_id", "code.concept_code").distinct()
+        sets = resolve_concepts(tables, codes, variant).select(F.col("instance_id").alias("code"), F.col("concept_id").alias("item"))
+        found = reduce(events(tables, kind).join(sets, "item").drop("item")).join(mine, "code").drop("code")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _per_person(found: DataFrame) -> DataFrame:
+    return found.select("code", "person_id").distinct()
+
+
+def _per_day(found: DataFrame) -> DataFrame:
+    return found.select("code", "person_id", day_number("start").alias("day")).distinct()
+
+
+def _first_and_last(found: DataFrame) -> DataFrame:
+    return found.groupBy("code", "person_id").agg(F.min(day_number("start")).alias("first"), F.max(day_number("start")).alias("last"))
+
+
+def _spans(found: DataFrame) -> DataFrame:
+    return found.select("code", "person_id", day_number("start").alias("first"), day_number(F.coalesce("end", "start")).alias("last")).distinct()
+
+
+def _per_year(found: DataFrame) -> DataFrame:
+    years = found.select("code", "person_id", year_of("start").alias("year")).distinct()
+    return years.groupBy("code", "year").agg(F.count("*").alias("number_of_patients"))
+
+
 def _with_trait(tables: Tables, cohort: Cohort, instances: DataFrame) -> DataFrame:
     """Patients of a concept with a trait: (instance_id, number_of_patients).
 
@@ -191,7 +218,7 @@ def _with_trait(tables: Tables, cohort: Cohort, instances: DataFrame) -> DataFra
     """
     wanted = instances.select("instance_id", F.col("codes")[0].alias("code"), "value")
     codes = wanted.select("code").distinct().select(F.col("code").alias("instance_id"), F.array("code").alias("codes"))
-    found = hits(tables, cohort, codes).withColumnRenamed("instance_id", "code")
+    found = hits(tables, cohort, codes, lambda rows: rows).withColumnRenamed("instance_id", "code")
     key = ["code", "value"]
     if cohort.trait in ("year", "year_span", "age"):
         wanted = wanted.withColumn("value", F.col("value").cast("long"))
@@ -260,28 +287,19 @@ def evaluate(tables: Tables, cohort: Cohort, instances: DataFrame, days: int | N
         return _of_population(tables, cohort, instances)
     if cohort.trait:
         return _with_trait(tables, cohort, instances)
-    found = hits(tables, cohort, instances)
     if cohort.test == "by_year":
-        return (
-            found.groupBy("instance_id", year_of("start").alias("year"))
-            .agg(F.count_distinct("person_id").alias("number_of_patients"))
-        )
-    if cohort.test in ("within", "after"):
-        found = found.select("instance_id", "person_id", "slot", day_number("start").alias("day"))
+        return hits(tables, cohort, instances, _per_year).select("instance_id", "year", "number_of_patients")
     if cohort.test == "any":
-        chosen = persons.having_any(found)
+        chosen = persons.having_any(hits(tables, cohort, instances, _per_person))
     elif cohort.test == "all":
-        chosen = persons.having_all(found, size)
+        chosen = persons.having_all(hits(tables, cohort, instances, _per_person), size)
     elif cohort.test == "within":
-        chosen = persons.having_all_within(found, size, days)
+        chosen = persons.having_all_within(hits(tables, cohort, instances, _per_day), size, days)
     elif cohort.test == "after":
+        found = hits(tables, cohort, instances, _first_and_last)
         chosen = persons.having_after(found, cohort.earlier, 1 - cohort.earlier, days, cohort.strict)
     elif cohort.test == "overlap":
-        timed = found.select(
-            "instance_id", "person_id", "slot",
-            day_number("start").alias("first"), day_number(F.coalesce("end", "start")).alias("last"),
-        )
-        chosen = persons.having_short_overlap(timed, size, days)
+        chosen = persons.having_short_overlap(hits(tables, cohort, instances, _spans), size, days)
     else:
         raise ValueError(f"cohort {cohort.id} takes no instances")
     if cohort.known_patients:

@@ -9,9 +9,11 @@ item is written per instance:
 
 from __future__ import annotations
 
+import inspect
 import re
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -169,9 +171,14 @@ def items(tables: Tables, cohort: Cohort, k: int = 10, days: int | None = None)
             F.lit(report_sql(cohort)).alias("expected_output"), "execution_result",
         )
     source = SOURCES[cohort.id]
-    found = source.find(tables, k)
-    instances = keep(bind(tables, cohort, found if source.names or k is None else found.limit(k)), "instances")
-    sql = criterion_sql(cohort, cohort.days if days is None else days)
+    more = {}
+    if days is not None and days != cohort.days:
+        # the rows, the question, the SQL text and the answer all speak of the same days
+        more = {"days": days} if "days" in inspect.signature(source.find).parameters else {}
+        cohort = replace(cohort, days=days, question=re.sub(rf"\b{cohort.days} days\b", f"{days} days", cohort.question))
+    found = source.find(tables, k, **more)
+    instances = keep(bind(tables, cohort, found if source.names or k is None else found.limit(k), source), "instances")
+    sql = criterion_sql(cohort, cohort.days)
     return instances.join(answers(tables, cohort, instances, days), "instance_id").select(
         F.col("instance_id").alias("place"), "input", sql.alias("expected_output"), "execution_result"
     )
@@ -180,10 +187,20 @@ def items(tables: Tables, cohort: Cohort, k: int = 10, days: int | None = None)
 def dataset(tables: Tables, cohorts: Iterable[str] | None = None, k: int = 10) -> DataFrame:
     """Items of many cohorts with ids 1, 2, 3 ... in the order of the cohorts, then of their rows.
 
-    Every cohort is finished and kept before the next; numbering sorts the few finished items.
+    Cohorts do not depend on each other and are made side by side. Items are numbered within their
+    cohort; of each cohort only its count is needed to number the next, so no task holds all items.
     """
     wanted = [COHORTS[c] for c in (cohorts or COHORTS)]
-    parts = [keep(items(tables, cohort, k).withColumn("cohort", F.lit(n)), "items") for n, cohort in enumerate(wanted)]
-    every = reduce(DataFrame.unionByName, parts)
-    number = F.row_number().over(Window.orderBy("cohort", "place")).cast("long")
-    return every.select(number.alias("id"), "input", "expected_output", "execution_result")
+
+    def made(n: int) -> tuple[DataFrame, int]:
+        part = keep(items(tables, wanted[n], k), "items")
+        return part, part.count()
+
+    with ThreadPoolExecutor(4) as pool:
+        parts = list(pool.map(made, range(len(wanted))))
+    before, numbered = 0, []
+    for part, n in parts:
+        number = F.row_number().over(Window.partitionBy(F.lit(before)).orderBy("place")).cast("long") + before
+        numbered.append(part.select(number.alias("id"), "input", "expected_output", "execution_result"))
+        before += n
+    return reduce(DataFrame.unionByName, numbered)

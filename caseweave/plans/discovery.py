@@ -15,7 +15,7 @@ from caseweave.functions.dates import OPEN_END, day_number, year_of
 from caseweave.operators import groups, intervals, ranking
 from caseweave.operators.concepts import labels, valid_concepts
 from caseweave.operators.demographics import UNKNOWN
-from caseweave.operators.groups import count_sets, item_sets, prune_items, prune_sides, set_columns
+from caseweave.operators.groups import count_sets, item_sets, prune_items, set_columns
 from caseweave.schema import Tables
 from caseweave.sources.readers import events
 from caseweave.storage import keep
@@ -30,15 +30,17 @@ def _valid_events(tables: Tables, kind: str) -> DataFrame:
 
 
 def _timed(tables: Tables, kind: str) -> DataFrame:
-    """(person_id, item, first, last) in day numbers; a missing end means a one-day event."""
-    return (
-        _valid_events(tables, kind)
-        .filter("start IS NOT NULL")
-        .select(
-            "person_id", "item", day_number("start").alias("first"), day_number(F.coalesce("end", "start")).alias("last")
-        )
-        .distinct()
-    )
+    """(person_id, item, first, last) in day numbers.
+
+    An exposure or occurrence without an end lasts one day, and one without a start is left out. An
+    era that lacks either date stays: it overlaps nothing, so its patient has the item apart from others.
+    """
+    rows, end = _valid_events(tables, kind), F.coalesce("end", "start")
+    if kind.endswith("_era"):
+        end = F.col("end")
+    else:
+        rows = rows.filter("start IS NOT NULL")
+    return rows.select("person_id", "item", day_number("start").alias("first"), day_number(end).alias("last")).distinct()
 
 
 def _lasting(tables: Tables, kind: str, days: int) -> DataFrame:
@@ -51,50 +53,60 @@ def _baskets(tables: Tables, kind: str) -> DataFrame:
     return _valid_events(tables, kind).select("person_id", "item").distinct()
 
 
+def _top_together(tables: Tables, kind: str, size: int, what: str, k: int | None) -> DataFrame:
+    """The k sets that the most patients have at any time."""
+    baskets = _baskets(tables, kind)
+    if size == 2 or k is None:
+        return ranking.top_sets(tables, _together(size)(baskets), _names(size, what), k)
+    baskets = keep(baskets.withColumn("label", F.col("item")), "baskets")
+    return ranking.top_sets(tables, groups.frequent_sets(baskets, size, k), _names(size, what), k)
+
+
 def _names(size: int, what: str) -> dict[str, str]:
     return {f"i{n}": f"{what}{n}_name" for n in range(1, size + 1)}
 
 
 def _top_sets(tables: Tables, rows: DataFrame, count: Callable, size: int, what: str, k: int | None) -> DataFrame:
-    rows = keep(rows, "events")
-    kept = prune_items(rows, count, size, k)
-    return ranking.top_sets(tables, count(kept, groups.all_small(rows)), _names(size, what), k)
+    """The k sets with the most patients. Pairs are counted at once; for larger sets items are pruned first."""
+    if size > 2:
+        rows = prune_items(keep(rows, "events"), count, size, k)
+    return ranking.top_sets(tables, count(rows), _names(size, what), k)
 
 
-def _together(size: int) -> Callable[[DataFrame, bool], DataFrame]:
+def _together(size: int) -> Callable[[DataFrame], DataFrame]:
     """Patients that have all items of a set at any time."""
 
-    def count(baskets: DataFrame, small: bool) -> DataFrame:
-        return count_sets(item_sets(baskets, ["person_id"], size, small), set_columns(size), unique=True)
+    def count(baskets: DataFrame) -> DataFrame:
+        return count_sets(item_sets(baskets, ["person_id"], size), set_columns(size), unique=True)
 
     return count
 
 
-def _overlapping_sets(rows: DataFrame, size: int, small: bool) -> DataFrame:
-    sets = item_sets(intervals.overlap_groups(rows), ["person_id", "day"], size, small)
-    return sets.filter(intervals.any_fresh(size)).select("person_id", *set_columns(size))
+def _overlapping_sets(rows: DataFrame, size: int) -> DataFrame:
+    sets = item_sets(intervals.overlap_groups(rows), ["person_id", "day"], size)
+    return sets.select("person_id", *intervals.in_order(size))
 
 
-def _overlapping(size: int) -> Callable[[DataFrame, bool], DataFrame]:
+def _overlapping(size: int) -> Callable[[DataFrame], DataFrame]:
     """Patients in whom all items of a set are under way on a common day."""
 
-    def count(rows: DataFrame, small: bool) -> DataFrame:
-        return count_sets(_overlapping_sets(rows, size, small), set_columns(size), unique=False)
+    def count(rows: DataFrame) -> DataFrame:
+        return count_sets(_overlapping_sets(rows, size), set_columns(size), unique=False)
 
     return count
 
 
-def _separate(size: int) -> Callable[[DataFrame, bool], DataFrame]:
+def _separate(size: int) -> Callable[[DataFrame], DataFrame]:
     """Patients that have all items of a set, but never all on a common day.
 
     Counted as a difference: patients with the set, less those with an overlap of it. The second
     group is part of the first and small, so nothing has to be anti-joined per patient.
     """
 
-    def count(rows: DataFrame, small: bool) -> DataFrame:
+    def count(rows: DataFrame) -> DataFrame:
         columns = set_columns(size)
-        have = item_sets(rows.select("person_id", "item").distinct(), ["person_id"], size, small)
-        meet = _overlapping_sets(rows, size, small).distinct()
+        have = item_sets(rows.select("person_id", "item").distinct(), ["person_id"], size)
+        meet = _overlapping_sets(rows, size).distinct()
         signed = have.select(*columns, F.lit(1).alias("sign")).unionByName(meet.select(*columns, F.lit(-1).alias("sign")))
         return signed.groupBy(*columns).agg(F.sum("sign").alias("n")).filter("n > 0")
 
@@ -109,25 +121,25 @@ def _head(rows: DataFrame, size: int) -> DataFrame:
 # --- combinations of drugs ----------------------------------------------------------------------
 
 
-def drug_pairs_within_30_days(tables: Tables, k: int | None = 10) -> DataFrame:
-    return _top_sets(tables, _lasting(tables, "drug", 30), _overlapping(2), 2, "drug", k)
+def drug_pairs_within_30_days(tables: Tables, k: int | None = 10, days: int = 30) -> DataFrame:
+    return _top_sets(tables, _lasting(tables, "drug", days), _overlapping(2), 2, "drug", k)
 
 
 def drug_pairs(tables: Tables, k: int | None = 10) -> DataFrame:
-    return _top_sets(tables, _baskets(tables, "drug"), _together(2), 2, "drug", k)
+    return _top_together(tables, "drug", 2, "drug", k)
 
 
 def drug_quads_chain_overlap(tables: Tables, k: int | None = 10) -> DataFrame:
     """Four drugs in id order, each overlapping the next, all starting 0 to 30 days after the first."""
     width = 30
 
-    def count(rows: DataFrame, small: bool) -> DataFrame:
+    def count(rows: DataFrame) -> DataFrame:
         # A start within 30 days lies in the calendar cell of the first drug or in the next one.
         at, cell_keys = intervals.cell("first"), ["person_id", "cell"]
 
         def numbered(rows: DataFrame, n: int) -> DataFrame:
             renamed = [F.col(c).alias(f"{short}{n}") for c, short in (("item", "i"), ("first", "f"), ("last", "l"))]
-            return rows.select(*cell_keys, *renamed).repartition(groups.shuffle_width(rows), *cell_keys)
+            return rows.select(*cell_keys, *renamed)
 
         out = numbered(rows.withColumn("cell", at), 1)
         others = rows.withColumn("cell", F.explode(F.array(at, at - 1)))
@@ -145,36 +157,37 @@ def drug_quads_overlapping(tables: Tables, k: int | None = 10) -> DataFrame:
     return _top_sets(tables, _timed(tables, "drug"), _overlapping(4), 4, "drug", k)
 
 
-def drug_quads_overlapping_in_head(tables: Tables, k: int | None = 10, head: int = 50) -> DataFrame:
-    """The same among the ``head`` most common drugs only."""
+def drug_quads_overlapping_in_head(tables: Tables, k: int | None = 10, head: int | None = None) -> DataFrame:
+    """The same, on demand among the ``head`` most common drugs only; all drugs when it is None."""
     rows = _timed(tables, "drug")
-    kept = keep(rows.join(_head(_valid_events(tables, "drug"), head), "item", "left_semi"), "events")
-    return ranking.top_sets(tables, _overlapping(4)(kept, True), _names(4, "drug"), k)
+    if head is not None:
+        rows = rows.join(_head(_valid_events(tables, "drug"), head), "item", "left_semi")
+    return _top_sets(tables, rows, _overlapping(4), 4, "drug", k)
 
 
-def drug_quads_in_head(tables: Tables, k: int | None = 10, head: int = 500) -> DataFrame:
-    """Four drugs ever taken, among the ``head`` most common by era, counted by drug name.
+def drug_quads_in_head(tables: Tables, k: int | None = 10, head: int | None = None) -> DataFrame:
+    """Four drugs ever taken, by era, counted by drug name; withdrawn concepts count.
 
-    The head is taken before the concept check, and withdrawn concepts count.
+    ``head`` limits them to the most common by era, before the concept check; None is all drugs.
     """
     eras = events(tables, "drug_era")
-    head_drugs = (
-        tables.concept.filter("domain_id = 'Drug' AND standard_concept = 'S'")
-        .withColumnRenamed("concept_id", "item")
-        .join(_head(eras, head), "item", "left_semi")
-        .select("item", "concept_name")
-    )
+    known = tables.concept.filter("domain_id = 'Drug' AND standard_concept = 'S'").withColumnRenamed("concept_id", "item").select("item", "concept_name")
+    if head is not None:
+        known = known.join(_head(eras, head), "item", "left_semi")
     # Concepts of one name share an id, so that the shuffle carries numbers and not names.
-    same = Window.partitionBy("concept_name")
-    named = head_drugs.select("item", F.min("item").over(same).alias("name_id"))
+    taken = known.join(eras.select("item").distinct(), "item", "left_semi")
+    named = taken.select("item", F.min("item").over(Window.partitionBy("concept_name")).alias("label"))
     baskets = keep(eras.select("person_id", "item").distinct().join(named, "item"), "baskets")
-    sets = item_sets(baskets, ["person_id"], 4, groups.all_small(baskets))
-    name_ids = {f"name_id{n}": f"drug{n}_name" for n in range(1, 5)}
-    return ranking.top_sets(tables, count_sets(sets, list(name_ids), unique=False), name_ids, k)
+    if k is None:
+        sets = item_sets(baskets, ["person_id"], 4).select("person_id", *[F.col(f"label{n}").alias(f"i{n}") for n in range(1, 5)])
+        counts = count_sets(sets, set_columns(4), unique=False)
+    else:
+        counts = groups.frequent_sets(baskets, 4, k)
+    return ranking.top_sets(tables, counts, _names(4, "drug"), k)
 
 
-def drug_triples_within_30_days(tables: Tables, k: int | None = 10) -> DataFrame:
-    return _top_sets(tables, _lasting(tables, "drug", 30), _overlapping(3), 3, "drug", k)
+def drug_triples_within_30_days(tables: Tables, k: int | None = 10, days: int = 30) -> DataFrame:
+    return _top_sets(tables, _lasting(tables, "drug", days), _overlapping(3), 3, "drug", k)
 
 
 def drug_triples_overlapping(tables: Tables, k: int | None = 10, in_order: bool = True) -> DataFrame:
@@ -189,14 +202,19 @@ def drug_triples_overlapping(tables: Tables, k: int | None = 10, in_order: bool
         day_number(F.coalesce("end", F.lit(OPEN_END).cast("date"))).alias("last"),
     )
     rows = keep(rows.distinct(), "events")
+    if k is not None:
+        # A patient has a triple if three drugs are under way on some start day; k such patients have k rows.
+        busy = intervals.active_on_start_days(rows, ["person_id"], open_ended=True).groupBy("person_id", "day")
+        able = busy.agg(F.count_distinct("item").alias("items")).filter("items >= 3").select("person_id").distinct()
+        able = able.orderBy("person_id").limit(k) if in_order else able.limit(k)
+        rows = keep(rows.join(able, "person_id", "left_semi"), "events")
     active = intervals.active_on_start_days(rows, ["person_id"], open_ended=True).select(
         "person_id", "day", "item", "last", (F.col("first") == F.col("day")).cast("int").alias("fresh")
     )
     sets = (
-        item_sets(active, ["person_id", "day"], 3, groups.all_small(rows))
-        .filter(intervals.any_fresh(3))
+        item_sets(active, ["person_id", "day"], 3)
         .select(
-            "person_id", "i1", "i2", "i3",
+            "person_id", *intervals.in_order(3),
             F.date_from_unix_date("day").alias("overlap_start"),
             F.date_from_unix_date(F.least("last1", "last2", "last3")).alias("overlap_end"),
         )
@@ -220,12 +238,12 @@ def drug_triples_separate(tables: Tables, k: int | None = 10) -> DataFrame:
 # --- combinations of conditions -------------------------------------------------------------------
 
 
-def condition_pairs_within_30_days(tables: Tables, k: int | None = 10) -> DataFrame:
-    return _top_sets(tables, _lasting(tables, "condition", 30), _overlapping(2), 2, "condition", k)
+def condition_pairs_within_30_days(tables: Tables, k: int | None = 10, days: int = 30) -> DataFrame:
+    return _top_sets(tables, _lasting(tables, "condition", days), _overlapping(2), 2, "condition", k)
 
 
 def condition_pairs(tables: Tables, k: int | None = 10) -> DataFrame:
-    return _top_sets(tables, _baskets(tables, "condition"), _together(2), 2, "condition", k)
+    return _top_together(tables, "condition", 2, "condition", k)
 
 
 def condition_pairs_separate(tables: Tables, k: int | None = 10) -> DataFrame:
@@ -233,24 +251,24 @@ def condition_pairs_separate(tables: Tables, k: int | None = 10) -> DataFrame:
     return _top_sets(tables, _timed(tables, "condition_era"), _separate(2), 2, "condition", k)
 
 
-def condition_quads_within_1000_days(tables: Tables, k: int | None = 10) -> DataFrame:
-    return _top_sets(tables, _lasting(tables, "condition", 1000), _overlapping(4), 4, "condition", k)
+def condition_quads_within_1000_days(tables: Tables, k: int | None = 10, days: int = 1000) -> DataFrame:
+    return _top_sets(tables, _lasting(tables, "condition", days), _overlapping(4), 4, "condition", k)
 
 
 def condition_quads(tables: Tables, k: int | None = 10) -> DataFrame:
-    return _top_sets(tables, _baskets(tables, "condition"), _together(4), 4, "condition", k)
+    return _top_together(tables, "condition", 4, "condition", k)
 
 
 def condition_quads_separate(tables: Tables, k: int | None = 10) -> DataFrame:
     return _top_sets(tables, _timed(tables, "condition_era"), _separate(4), 4, "condition", k)
 
 
-def condition_triples_within_300_days(tables: Tables, k: int | None = 10) -> DataFrame:
-    return _top_sets(tables, _lasting(tables, "condition", 300), _overlapping(3), 3, "condition", k)
+def condition_triples_within_300_days(tables: Tables, k: int | None = 10, days: int = 300) -> DataFrame:
+    return _top_sets(tables, _lasting(tables, "condition", days), _overlapping(3), 3, "condition", k)
 
 
 def condition_triples(tables: Tables, k: int | None = 10) -> DataFrame:
-    return _top_sets(tables, _baskets(tables, "condition"), _together(3), 3, "condition", k)
+    return _top_together(tables, "condition", 3, "condition", k)
 
 
 def condition_triples_separate(tables: Tables, k: int | None = 10) -> DataFrame:
@@ -267,22 +285,20 @@ def _first_and_last(rows: DataFrame) -> DataFrame:
     )
 
 
-def _followed(earlier: DataFrame, later: DataFrame, gap: int, strict: bool, small: bool = False) -> DataFrame:
+def _followed(earlier: DataFrame, later: DataFrame, gap: int, strict: bool) -> DataFrame:
     """Patients per (a, b) with some b that starts more than (or at least) ``gap`` days after some a."""
     apart = F.col("last_b") - F.col("first_a")
     pairs = groups.pairs_across(
         earlier.select("person_id", F.col("item").alias("a"), F.col("first").alias("first_a")),
         later.select("person_id", F.col("item").alias("b"), F.col("last").alias("last_b")),
         (F.col("a") != F.col("b")) & (apart > gap if strict else apart >= gap),
-        small,
     )
     return count_sets(pairs, ["a", "b"], unique=True)
 
 
 def _top_followed(tables: Tables, kind: str, gap: int, strict: bool, names: dict[str, str], k: int | None) -> DataFrame:
-    rows = keep(_first_and_last(_valid_events(tables, kind)), "events")
-    kept = prune_items(rows, lambda r, small: _followed(r, r, gap, strict, small), 2, k)
-    return ranking.top_sets(tables, _followed(kept, kept, gap, strict, groups.all_small(rows)), names, k)
+    rows = _first_and_last(_valid_events(tables, kind))
+    return ranking.top_sets(tables, _followed(rows, rows, gap, strict), names, k)
 
 
 def condition_then_condition(tables: Tables, k: int | None = 10) -> DataFrame:
@@ -290,14 +306,14 @@ def condition_then_condition(tables: Tables, k: int | None = 10) -> DataFrame:
     return _top_followed(tables, "condition", 0, True, {"a": "first_condition", "b": "second_condition"}, k)
 
 
-def condition_30_days_after_condition(tables: Tables, k: int | None = 10) -> DataFrame:
+def condition_30_days_after_condition(tables: Tables, k: int | None = 10, days: int = 30) -> DataFrame:
     """Condition b at least 30 days after condition a."""
-    return _top_followed(tables, "condition", 30, False, {"a": "condition_a_name", "b": "condition_b_name"}, k)
+    return _top_followed(tables, "condition", days, False, {"a": "condition_a_name", "b": "condition_b_name"}, k)
 
 
-def drug_30_days_after_drug(tables: Tables, k: int | None = 10) -> DataFrame:
+def drug_30_days_after_drug(tables: Tables, k: int | None = 10, days: int = 30) -> DataFrame:
     """A drug started at least 30 days after another; the later drug comes first in the row."""
-    out = _top_followed(tables, "drug", 30, False, {"a": "drug_a_name", "b": "drug_b_name"}, k)
+    out = _top_followed(tables, "drug", days, False, {"a": "drug_a_name", "b": "drug_b_name"}, k)
     return out.select("drug_b_name", "drug_a_name", "person_count")
 
 
@@ -328,24 +344,17 @@ def drug_directly_followed_by_drug(tables: Tables, k: int | None = 10) -> DataFr
 
 
 def _drug_after_condition(tables: Tables, gap: int, k: int | None) -> DataFrame:
-    conditions, drugs = (keep(_first_and_last(_valid_events(tables, kind)), "events") for kind in ("condition", "drug"))
-
-    def count(c: DataFrame, d: DataFrame, small: bool = False) -> DataFrame:
-        return _followed(c, d, gap, strict=True, small=small)
-
-    kept = prune_sides(conditions, drugs, count, k)
-    return ranking.top_sets(
-        tables, count(*kept, groups.all_small(conditions)), {"a": "condition_name", "b": "drug_name"}, k
-    )
+    conditions, drugs = (_first_and_last(_valid_events(tables, kind)) for kind in ("condition", "drug"))
+    return ranking.top_sets(tables, _followed(conditions, drugs, gap, strict=True), {"a": "condition_name", "b": "drug_name"}, k)
 
 
 def drug_after_condition(tables: Tables, k: int | None = 10) -> DataFrame:
     return _drug_after_condition(tables, 0, k)
 
 
-def drug_30_days_after_condition(tables: Tables, k: int | None = 10) -> DataFrame:
+def drug_30_days_after_condition(tables: Tables, k: int | None = 10, days: int = 30) -> DataFrame:
     """A drug started more than 30 days after the condition."""
-    return _drug_after_condition(tables, 30, k)
+    return _drug_after_condition(tables, days, k)
 
 
 # --- the most common value per condition --------------------------------------------------------------
@@ -429,7 +438,7 @@ def condition_common_gender(tables: Tables, k: int | None = 10) -> DataFrame:
 # --- the most common items of each year ------------------------------------------------------------------
 
 
-def _yearly(tables: Tables, kind: str, name: str, k: int | None, head: int = 20) -> DataFrame:
+def _yearly(tables: Tables, kind: str, name: str, k: int | None, head: int | None) -> DataFrame:
     counts = (
         _valid_events(tables, kind)
         .select("person_id", "item", year_of("start").alias("year"))
@@ -437,19 +446,22 @@ def _yearly(tables: Tables, kind: str, name: str, k: int | None, head: int = 20)
         .agg(F.count_distinct("person_id").alias("n"))
     )
     order = [F.asc_nulls_last("year"), F.desc("n"), "item"]
-    best = ranking.head_per_group(counts, "year", [F.desc("n"), "item"], head)
+    best = counts if head is None else ranking.head_per_group(counts, "year", [F.desc("n"), "item"], head)
     best = best if k is None else best.orderBy(*order).limit(k)
     named = ranking.ordered(ranking.with_names(tables, best, {"item": name}), order, k)
     return named.select(name, "year", F.col("n").alias("patient_count"))
 
 
-def drugs_of_each_year(tables: Tables, k: int | None = 10) -> DataFrame:
-    """The 20 drugs with the most patients of each start year; the first k rows by year."""
-    return _yearly(tables, "drug", "drug_name", k)
+def drugs_of_each_year(tables: Tables, k: int | None = 10, head: int | None = None) -> DataFrame:
+    """The drugs with the most patients of each start year; the first k rows by year.
+
+    ``head`` keeps so many of each year; all of them when it is None.
+    """
+    return _yearly(tables, "drug", "drug_name", k, head)
 
 
-def conditions_of_each_year(tables: Tables, k: int | None = 10) -> DataFrame:
-    return _yearly(tables, "condition", "condition_name", k)
+def conditions_of_each_year(tables: Tables, k: int | None = 10, head: int | None = None) -> DataFrame:
+    return _yearly(tables, "condition", "condition_name", k, head)
 
 
 # --- the population ---------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from caseweave.functions.text import sql_literal, squeeze
+from caseweave.functions.text import sql_literal
 from caseweave.plans.cohorts import Cohort
 
 _EVENTS = {
@@ -164,4 +164,4 @@ def criterion_sql(cohort: Cohort, days: int) -> Column:
         arguments.append(F.col("value").cast("string"))
     elif cohort.trait:
         arguments.append(sql_literal("value"))
-    return squeeze(F.format_string(criterion_pattern(cohort, days), *arguments))
+    return F.format_string(squeeze_text(criterion_pattern(cohort, days)), *arguments)

@@ -2,10 +2,14 @@
 
 An event table that a query reads several times is written once and read back. This cuts the
 lineage, survives the loss of executors, and gives the optimizer real file sizes to choose joins by.
+All tables of an application lie in one folder of its own there; ``drop_kept`` removes it when their
+results have been written.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,20 +17,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local session without one gets its own."""
+    """The folder named by ``spark.checkpoint.dir``; a local session without one gets its own, until it ends."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="caseweave-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return folder
 
 
+def kept_folder(spark: SparkSession) -> str:
+    """Where this application's tables lie."""
+    return f"{shared_folder(spark)}/kept-{spark.sparkContext.applicationId}"
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a new parquet table in the shared folder and read it back."""
+    """Write ``df`` as a new parquet table in the application's folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{kept_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_kept(spark: SparkSession) -> None:
+    """Remove all kept tables of this application; results that read them must have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(kept_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

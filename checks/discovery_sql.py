@@ -132,7 +132,7 @@ def _yearly(table: str, name: str) -> str:
     more = (
         f"counts AS (SELECT EXTRACT(YEAR FROM s) AS year, i, COUNT(DISTINCT p) AS n FROM {table} GROUP BY 1, 2), "
         "ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY year ORDER BY n DESC, i) AS r FROM counts), "
-        f"best AS (SELECT * FROM ranked WHERE r <= 20 ORDER BY year, n DESC, i LIMIT {K})"
+        f"best AS (SELECT * FROM ranked ORDER BY year, n DESC, i LIMIT {K})"
     )
     return with_star(
         f"SELECT c.concept_name AS {name}, CAST(year AS BIGINT) AS year, CAST(n AS BIGINT) AS patient_count "
@@ -153,28 +153,27 @@ def discovery_sql() -> dict[str, str]:
         _names(4, "drug"),
     )
     out["Q0004"] = _top(_distinct_persons("drug", 4, _overlap), _names(4, "drug"))
-    head = (
-        "head AS (SELECT i FROM drug GROUP BY i ORDER BY COUNT(DISTINCT p) DESC, i LIMIT 50), "
-        "few AS (SELECT * FROM drug WHERE i IN (SELECT i FROM head))"
-    )
     out["Q0005"] = _top(
-        _distinct_persons("few", 4, _overlap, "WHERE GREATEST(e1.s, e2.s, e3.s, e4.s) <= LEAST(e1.f, e2.f, e3.f, e4.f)"),
-        _names(4, "drug"), more=head,
+        _distinct_persons("drug", 4, _overlap, "WHERE GREATEST(e1.s, e2.s, e3.s, e4.s) <= LEAST(e1.f, e2.f, e3.f, e4.f)"),
+        _names(4, "drug"),
     )
-    head = (
-        "head AS (SELECT drug_concept_id AS i FROM drug_era GROUP BY 1 ORDER BY COUNT(DISTINCT person_id) DESC, i LIMIT 500), "
-        "basket AS (SELECT DISTINCT person_id AS p, drug_concept_id AS i, concept_name AS name FROM drug_era "
-        "JOIN concept ON concept_id = drug_concept_id WHERE drug_concept_id IN (SELECT i FROM head) "
-        "AND domain_id = 'Drug' AND standard_concept = 'S'), "
-        "first_id AS (SELECT concept_name AS name, MIN(concept_id) AS id FROM concept WHERE concept_id IN (SELECT i FROM head) GROUP BY 1)"
+    # Over a hundred million quads have one patient. The best K have two or more here, so they lie in
+    # what two patients have in common; names stand for one concept each in the given tables.
+    more = (
+        "basket AS (SELECT DISTINCT person_id AS p, drug_concept_id AS i FROM drug_era JOIN concept ON concept_id = drug_concept_id "
+        "WHERE domain_id = 'Drug' AND standard_concept = 'S'), "
+        "common AS (SELECT a.p AS p, b.p AS q, a.i AS i, COUNT(*) OVER (PARTITION BY a.p, b.p) AS items FROM basket a JOIN basket b ON a.i = b.i AND a.p < b.p), "
+        "meet AS MATERIALIZED (SELECT p, q, list(i ORDER BY i) AS l FROM common WHERE items >= 4 GROUP BY 1, 2), "
+        "two AS MATERIALIZED (SELECT l, a, unnest(range(a + 1, len(l) + 1)) AS b FROM (SELECT l, unnest(range(1, len(l) + 1)) AS a FROM meet) x), "
+        "three AS MATERIALIZED (SELECT l, a, b, unnest(range(b + 1, len(l) + 1)) AS c FROM two), "
+        "quad AS MATERIALIZED (SELECT DISTINCT l[a] AS i1, l[b] AS i2, l[c] AS i3, l[d] AS i4 "
+        "FROM (SELECT l, a, b, c, unnest(range(c + 1, len(l) + 1)) AS d FROM three) y), "
+        "bag AS MATERIALIZED (SELECT p, list(i) AS l FROM basket GROUP BY 1)"
     )
-    names = ", ".join(f"e{j}.name AS drug{j}_name" for j in range(1, 5))
-    ids = " ".join(f"JOIN first_id f{j} ON f{j}.name = e{j}.name" for j in range(1, 5))
-    out["Q0006"] = with_star(
-        f"SELECT drug1_name, drug2_name, drug3_name, drug4_name, CAST(n AS BIGINT) AS person_count FROM ("
-        f"SELECT {names}, f1.id AS a, f2.id AS b, f3.id AS c, f4.id AS d, COUNT(DISTINCT e1.p) AS n "
-        f"{_join('basket', 4)} {ids} GROUP BY ALL) q ORDER BY n DESC, a, b, c, d LIMIT {K}",
-        head,
+    out["Q0006"] = _top(
+        "SELECT i1, i2, i3, i4, COUNT(*) AS n FROM quad JOIN basket ON basket.i = quad.i1 JOIN bag ON bag.p = basket.p "
+        "WHERE list_contains(l, i2) AND list_contains(l, i3) AND list_contains(l, i4) GROUP BY 1, 2, 3, 4",
+        _names(4, "drug"), more=more,
     )
     out["Q0007"] = _top(_distinct_persons("drug", 3, _near(30), _span(3, 30)), _names(3, "drug"))
     spans = (

@@ -121,9 +121,10 @@ RANGES = with_star(
 # --- dataset --------------------------------------------------------------------------------------
 
 # Cohorts whose dataset items are registered; all 56 are built by the same code.
-DATASETS = ["F0003", "F0004", "F0013", "F0014", "F0019", "F0022", "F0023", "F0024", "F0025", "F0026", "F0027", "F0028",
+DATASETS = ["F0003", "F0004", "F0005", "F0007", "F0009", "F0012", "F0013", "F0014", "F0018", "F0019", "F0022", "F0023", "F0024", "F0025", "F0026", "F0027", "F0028",
             "F0029", "F0030", "F0031", "F0032", "F0033", "F0034", "F0052", "F0053", "F0055", "F0056"]
-_FOUND_BY = {"F0003": "Q0001", "F0004": "Q0002", "F0013": "Q0011", "F0014": "Q0012", "F0019": "Q0017", "F0022": "Q0019",
+_FOUND_BY = {"F0003": "Q0001", "F0004": "Q0002", "F0005": "Q0002", "F0007": "Q0005", "F0009": "Q0007", "F0012": "Q0010",
+             "F0013": "Q0011", "F0014": "Q0012", "F0018": "Q0016", "F0019": "Q0017", "F0022": "Q0019",
              "F0023": "Q0020", "F0024": "Q0021", "F0025": "Q0022", "F0026": "Q0023", "F0027": "Q0024", "F0028": "Q0025",
              "F0029": "Q0026", "F0030": "Q0027", "F0031": "Q0028", "F0032": "Q0029", "F0033": "Q0030", "F0034": "Q0031",
              "F0052": "Q0036", "F0053": "Q0037", "F0055": "Q0039", "F0056": "Q0040"}
@@ -237,7 +238,7 @@ _ORDERS = (
     "ELSE CAST(n AS VARCHAR) END AS response, CASE WHEN shape IN (0, 1, 2, 5) THEN n WHEN shape = 4 THEN price WHEN shape = 6 THEN 2 END AS expected "
     "FROM sized)"
 )
-# The refusal phrases, spelled out for SQL.
+# The refusal phrases, spelled out for SQL.
 _REFUSES = " OR ".join(
     "contains(lower(response), '{}')".format(p.replace("'", "''"))
     for p in ("failed", "error", "incorrect", "may not be correct", "i will", "i'll", "let me", "please provide", "i'm ready", "i can help")

@@ -8,6 +8,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from caseweave.functions.text import sql_literal
+from caseweave.plans import discovery
 from caseweave.plans.cohorts import COHORTS, evaluate, report
 from caseweave.plans.dataset import SOURCES, bind, dataset, items
 from caseweave.plans.sqltext import criterion_sql, report_sql
@@ -115,3 +117,18 @@ def test_quotes_in_values(tiny, spark):
     assert item["execution_result"] == [["1"]]
     tables.register_views()
     assert spark.sql(item["expected_output"]).first()[0] == 1
+
+
+def test_days_reach_rows_question_and_sql(star):
+    """One number of days in the discovery, the question, the SQL text and the answer."""
+    made = items(star, COHORTS["F0003"], k=2, days=60).orderBy("place").collect()
+    found = {tuple(sorted((r["drug1_name"], r["drug2_name"]))) for r in discovery.drug_pairs_within_30_days(star, k=2, days=60).collect()}
+    for r in made:
+        assert "60 days" in r["input"] and "30 days" not in r["input"] and "<= 60" in r["expected_output"]
+        assert any(a in r["input"] and b in r["input"] for a, b in found)
+
+
+def test_literals_survive_as_sql_text(spark):
+    for value in ("a\\b", "it's", "two  blanks", "\\'", "tab\\t"):
+        text = spark.range(1).select(sql_literal(F.lit(value))).first()[0]
+        assert spark.sql(f"SELECT {text}").first()[0] == value

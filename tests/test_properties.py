@@ -52,7 +52,7 @@ def as_counts(df, size):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_overlapping_sets(spark, size, seed):
     rows = random_rows(seed)
-    got = as_counts(discovery._overlapping(size)(frame(spark, rows), False), size)
+    got = as_counts(discovery._overlapping(size)(frame(spark, rows)), size)
     assert got == counts(brute_overlap(rows, size))
 
 
@@ -60,18 +60,18 @@ def test_overlapping_sets(spark, size, seed):
 def test_separate_sets(spark, size):
     rows = [r for r in random_rows(3) if r[2] <= r[3]]
     have = {(p, *ids) for p in {r[0] for r in rows} for ids in itertools.combinations(sorted({r[1] for r in rows if r[0] == p}), size)}
-    got = as_counts(discovery._separate(size)(frame(spark, rows), False), size)
+    got = as_counts(discovery._separate(size)(frame(spark, rows)), size)
     assert got == counts(have - brute_overlap(rows, size))
 
 
 def test_cut_groups_lose_nothing(spark, monkeypatch):
-    """One patient holds a third of the rows; groups above two rows are cut into parts."""
+    """One patient holds a third of the rows; groups of over two sets are cut into parts."""
     rng = random.Random(5)
     baskets = {(0, i) for i in range(60)} | {(rng.randint(1, 30), rng.randint(0, 59)) for _ in range(150)}
     df = spark.createDataFrame(sorted(baskets), "person_id long, item long")
-    whole = as_counts(discovery._together(3)(df, False), 3)
-    monkeypatch.setattr(groups, "PART_ROWS", 2)
-    cut = as_counts(discovery._together(3)(df, False), 3)
+    whole = as_counts(discovery._together(3)(df), 3)
+    monkeypatch.setattr(groups, "SETS_PER_TASK", 2)
+    cut = as_counts(discovery._together(3)(df), 3)
     assert cut == whole
     want = {}
     for p in {b[0] for b in baskets}:
@@ -86,11 +86,14 @@ def test_cut_groups_lose_nothing(spark, monkeypatch):
 
 
 def test_parts_spread_a_large_group(spark, monkeypatch):
-    monkeypatch.setattr(groups, "PART_ROWS", 10)
+    monkeypatch.setattr(groups, "SETS_PER_TASK", 500)
     df = spark.range(100).select(F.lit(1).alias("person_id"), F.col("id").alias("item"))
-    sized = groups.with_parts(df, ["person_id"])
-    assert {r["part"] for r in groups.scattered(sized, ["person_id"], "item").select("part").distinct().collect()} == set(range(10))
-    assert groups.repeated(sized, ["person_id"]).count() == 1000
+    large = groups.large_groups(df, ["person_id"], 2)
+    assert [r["parts"] for r in large.collect()] == [10]
+    sized = groups._cut(df, ["person_id"], large)
+    assert {r["part"] for r in groups._scattered(sized, "item").select("part").distinct().collect()} == set(range(10))
+    assert groups._repeated(sized).count() == 1000
+    assert [r["parts"] for r in groups.large_groups(df, ["person_id"], 4).collect()] == [100]
 
 
 @pytest.mark.parametrize("size", [2, 3])
@@ -102,12 +105,12 @@ def test_pruning_is_exact(spark, monkeypatch, size):
         baskets |= {(person, i) for i in range(5) if rng.random() < 0.8}
         baskets |= {(person, 100 + rng.randint(0, 200)) for _ in range(6)}
     df = spark.createDataFrame(sorted(baskets), "person_id long, item long")
-    monkeypatch.setattr(groups, "SEEDS", {2: 4, 3: 4, 4: 4})
+    monkeypatch.setattr(groups, "seeds", lambda size: 4)
     count = discovery._together(size)
     kept = groups.prune_items(df, count, size, 3)
     assert kept.select("item").distinct().count() < df.select("item").distinct().count()
     columns = groups.set_columns(size)
-    assert groups.top(count(kept, False), columns, 3).collect() == groups.top(count(df, False), columns, 3).collect()
+    assert groups.top(count(kept), columns, 3).collect() == groups.top(count(df), columns, 3).collect()
 
 
 def hits(rng, people=15, slots=3, rows=8, days=60):
@@ -134,7 +137,7 @@ def test_periods(spark, days):
 def test_after(spark, gap, strict):
     rows = hits(random.Random(gap + strict), slots=2)
     df = spark.createDataFrame(rows, "instance_id long, person_id long, slot int, day int")
-    got = {r["person_id"] for r in persons.having_after(df, 0, 1, gap, strict).collect()}
+    got = {r["person_id"] for r in persons.having_after(df.withColumns({"first": F.col("day"), "last": F.col("day")}), 0, 1, gap, strict).collect()}
     want = {
         p for p in {r[1] for r in rows}
         if any((b[3] - a[3] > gap) if strict else (b[3] - a[3] >= gap)
@@ -199,38 +202,43 @@ def skewed(seed):
 
 def test_cut_groups_in_overlaps(spark, monkeypatch):
     rows = skewed(6)
-    monkeypatch.setattr(groups, "PART_ROWS", 2)
-    assert not groups.all_small(frame(spark, rows))
-    got = as_counts(discovery._overlapping(3)(frame(spark, rows), False), 3)
+    monkeypatch.setattr(groups, "SETS_PER_TASK", 2)
+    got = as_counts(discovery._overlapping(3)(frame(spark, rows)), 3)
     assert got == counts(brute_overlap(rows, 3))
 
 
 def test_cut_groups_in_order(spark, monkeypatch):
     rows = skewed(8)
     df = frame(spark, rows).groupBy("person_id", "item").agg(F.min("first").alias("first"), F.max("first").alias("last"))
-    monkeypatch.setattr(groups, "PART_ROWS", 2)
-    cut = {(r["a"], r["b"]): r["n"] for r in discovery._followed(df, df, 5, False, False).collect()}
-    small = {(r["a"], r["b"]): r["n"] for r in discovery._followed(df, df, 5, False, True).collect()}
+    monkeypatch.setattr(groups, "SETS_PER_TASK", 2)
+    cut = {(r["a"], r["b"]): r["n"] for r in discovery._followed(df, df, 5, False).collect()}
     want = {}
     for p in {r[0] for r in rows}:
         mine = [r for r in rows if r[0] == p]
         for pair in {(x[1], y[1]) for x in mine for y in mine if x[1] != y[1] and y[2] - x[2] >= 5}:
             want[pair] = want.get(pair, 0) + 1
-    assert cut == small == want
+    assert cut == want
 
 
-def test_two_sided_pruning_is_exact(spark, monkeypatch):
-    rng = random.Random(12)
-    monkeypatch.setattr(groups, "SEEDS", {2: 3, 3: 3, 4: 3})
+@pytest.mark.parametrize("size, k", [(3, 3), (4, 5), (3, 10_000)])
+def test_sets_grown_from_frequent_pairs_hold_the_best(spark, size, k):
+    """A common core, rare items, two items of one label, and a k that no floor reaches."""
+    rng = random.Random(size)
+    baskets = {(p, i) for p in range(40) for i in range(7) if rng.random() < 0.5} | {(p, 100 + rng.randint(0, 60)) for p in range(40) for _ in range(4)}
+    label = lambda i: 5 if i == 6 else i
+    df = spark.createDataFrame([(p, i, label(i)) for p, i in sorted(baskets)], "person_id long, item long, label long")
+    want = {}
+    for p in range(40):
+        for ids in {tuple(map(label, ids)) for ids in itertools.combinations(sorted(i for q, i in baskets if q == p), size)}:
+            want[ids] = want.get(ids, 0) + 1
+    got = as_counts(groups.frequent_sets(df, size, k), size)
+    best = lambda counts: sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:k]
+    assert best(got) == best(want)
 
-    def side(base):
-        common = {(p, base + i) for p in range(50) for i in range(3) if rng.random() < 0.9}
-        rare = {(p, base + 50 + rng.randint(0, 150)) for p in range(50) for _ in range(4)}
-        rows = [(p, i, f := rng.randint(0, 100), f + rng.randint(0, 50)) for p, i in sorted(common | rare)]
-        return frame(spark, rows)
 
-    left, right = side(0), side(1000)
-    count = lambda a, b, small=False: discovery._followed(a, b, 0, True, small)
-    kept = groups.prune_sides(left, right, count, 4)
-    assert kept[0].count() < left.count() and kept[1].count() < right.count()
-    assert groups.top(count(*kept), ["a", "b"], 4).collect() == groups.top(count(left, right), ["a", "b"], 4).collect()
+def test_undated_eras_are_separate(spark, tiny):
+    """An era without a start or an end overlaps nothing; its patient has both items apart."""
+    ids = [concept(1, "a"), concept(2, "b")]
+    era = [(1, 1, day(0), day(9)), (1, 2, None, day(9)), (2, 1, day(0), day(9)), (2, 2, day(5), None), (3, 1, day(0), day(9)), (3, 2, day(5), day(6))]
+    found = discovery.condition_pairs_separate(tiny(concept=ids, condition_era=era)).collect()
+    assert [(r["condition1_name"], r["condition2_name"], r["person_count"]) for r in found] == [("a", "b", 2)]

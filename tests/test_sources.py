@@ -63,3 +63,13 @@ def test_event_kinds(star):
         assert readers.events(star, kind).columns == ["person_id", "item", "start", "end"]
     with pytest.raises(ValueError):
         readers.events(star, "visit")
+
+
+def test_kept_tables_go_when_dropped(spark, tmp_path, monkeypatch):
+    from caseweave import storage
+
+    monkeypatch.setattr(storage, "kept_folder", lambda session: str(tmp_path / "kept"))
+    kept = storage.keep(spark.range(5), "numbers")
+    assert kept.count() == 5 and (tmp_path / "kept").is_dir()
+    storage.drop_kept(spark)
+    assert not (tmp_path / "kept").exists()
