@@ -18,12 +18,15 @@ import pyarrow.compute as pc
 U64 = np.uint64
 SPACES = bytes([0x20, *range(0x09, 0x0E)])  # what separates words of the word shingles and the quality rules
 NOT_ALPHANUMERIC = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])  # after lower-casing
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 HASH_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+pa.set_memory_pool(pa.system_memory_pool())  # a worker gives memory back between batches
+
+
 class Alphabet(NamedTuple):
     separator: np.ndarray  # bool by byte
     code: np.ndarray  # random 64-bit number by byte; equal for bytes that count as equal
