@@ -87,7 +87,7 @@ def _upper(codes: np.ndarray, factors: np.ndarray, unit: np.ndarray) -> np.ndarr
     """
     dim = unit.shape[1]
     turned = unit @ rotations(dim).astype(np.float32)
-    estimate = (codes.astype(np.float32) @ turned.T) * (ROTATIONS / factors[:, None])
+    estimate = (codes.astype(np.float32) @ turned.T) / factors[:, None]
     share = np.clip(factors / (ROTATIONS * math.sqrt(dim)), 1e-6, 1.0)
     spread = np.sqrt((1 - share**2) / share**2) / math.sqrt(max(1, ROTATIONS * dim - 1))
     return estimate + BOUND * spread[:, None]
