@@ -9,8 +9,9 @@
    the bucket, so a bucket of n gives n - 1 pairs. Each class first tries the centre it shares most
    buckets with; links are confirmed on the full sets and joined to components.
 4. A bucket whose members lie in several components has pairs that nobody has compared. It goes to
-   the next round with other centres, four times as many each time, until no such bucket is left. So
-   no pair of a bucket is left out, and buckets of true copies end after a round or two.
+   the next round with other centres, from its smallest components, four times as many each time,
+   until no such bucket is left. So no pair of a bucket between components is left out, and a bucket
+   of copies with a few others ends when these have met all.
 
 Two sets with a similarity of 0.8 share no band with a chance of (1 - 0.8^6)^42, 3 in a million; two
 with 0.85, 2 in 10^9. Larger buckets with the same members are one bucket.
@@ -176,9 +177,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMI
         placed, n = keep_counted(placed.join(mixed, "key"), "open")
         if not n:
             break
-        # other centres: the members of each bucket with the lowest mixed numbers
-        by_number = Window.partitionBy("key").orderBy(F.xxhash64("rep", F.lit(len(tested))), "rep")
-        chosen = placed.withColumn("place", F.row_number().over(by_number)).filter(F.col("place") <= centres)
+        # other centres: members of the bucket's smallest components first. When they have met all
+        # others and left, the bucket is one component and done, however large that is.
+        part = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+        by_size = Window.partitionBy("key").orderBy("n", F.xxhash64("rep", F.lit(len(tested))), "rep")
+        chosen = placed.join(part, ["key", "component"]).withColumn("place", F.row_number().over(by_size)).filter(F.col("place") <= centres)
         chosen = keep(chosen.select("key", F.col("rep").alias("centre"), F.col("component").alias("other")), "centres")
         tries = placed.join(chosen, "key").filter("component <> other").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
         pairs, new = keep_counted(tries.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti"), "pairs")
