@@ -2,13 +2,17 @@
 
 Tokens are summed by cell (source, language, topic). The cells' weights are raked: scaled to the
 target shares of one marginal after the other until all three hold. The weight of a cell per token
-it has, times a common factor, is the probability with which its documents are sampled. The factor
-is the largest that leaves every probability at most 1, so that the expected sample holds all
-targets; a share of all tokens can be asked for instead, and then probabilities are capped at 1. Whether a document is in is decided
-by a hash of its id, so the same sample comes out of every run and after every lost executor.
+it has, times a common factor, is the probability with which its documents are sampled. With given
+targets the factor is the largest that leaves every probability at most 1, so that the expected
+sample holds all targets; a share of all tokens can be asked for instead, and then probabilities
+are capped at 1. Whether a document is in is decided by a hash of its id, so the same sample comes
+out of every run and after every lost executor.
 
 Without given targets, a value's target share is its present share to the power ``FLATTEN``, which
-lifts small sources and lowers a hot one.
+lifts small sources and lowers a hot one. The rarer a value, the more it is lifted, so here the
+rarest cells do not set the rate of all others: the most lifted cells that make up ``RARE`` of all
+weight at most are taken whole, as are cells lifted more than ``MOST_LIFT`` times, and fall short of
+their targets. So a document's probability is at least its cell's lift divided by ``MOST_LIFT``.
 
 All steps after the first aggregation work on the table of cells. Everything is built-in functions.
 
@@ -33,6 +37,9 @@ FLATTEN = 0.9
 SWEEPS = 40
 CLOSE = 1e-6  # relative difference between marginal and target at which raking ends
 CHARS_PER_TOKEN = 4
+RARE = 1e-3  # share of all weight that the cells may have that do not set the rate
+MOST_LIFT = 2.0  # weight per token, against the average, above which a cell does not set the rate
+STEPS = 100  # in which the logarithm of a lift is told apart when weights are summed by lift
 
 
 def tokens_of(text: Column) -> Column:
@@ -84,13 +91,30 @@ def flattened(cells: DataFrame, power: float = FLATTEN) -> dict[str, DataFrame]:
     return {m: cells.groupBy(F.col(m).alias("value")).agg(F.pow(F.sum("tokens"), F.lit(power)).alias("share")) for m in MARGINALS}
 
 
-def probabilities(cells: DataFrame, share: float | None = None) -> DataFrame:
+def leading_lift(cells: DataFrame) -> float | None:
+    """The lift that is to become probability 1: the largest, or ``MOST_LIFT`` at most, after the
+    most lifted cells have been left out that make up ``RARE`` of the weight at most."""
+    ratio = F.col("weight") / F.col("tokens")
+    steps = cells.filter(ratio > 0).groupBy(F.floor(F.log(ratio) * STEPS).alias("step")).agg(F.max(ratio).alias("lift"), F.sum("weight").alias("weight"))
+    found = sorted(steps.collect(), reverse=True)
+    total, above = sum(r["weight"] for r in found), 0.0
+    for row in found:
+        above += row["weight"]
+        if above > RARE * total:
+            return min(row["lift"], MOST_LIFT)
+    return None
+
+
+def probabilities(cells: DataFrame, share: float | None = None, hold: bool = True) -> DataFrame:
     """Raked cells with ``probability``: weight per token times a factor, at most 1.
 
-    Without ``share`` the factor is the largest that needs no cap. With it, the factor is raised
+    Without ``share`` the factor is the largest that needs no cap; or, if not all targets need to
+    ``hold``, the one that makes the leading lift a probability of 1. With it, the factor is raised
     until the expected tokens are that share of all; what capped cells lack the others make up.
     """
     ratio = F.col("weight") / F.col("tokens")
+    if share is None and not hold:
+        return cells.withColumn("probability", F.least(F.lit(1.0), ratio / F.lit(leading_lift(cells) or 1.0)))
     if share is None:
         largest = cells.agg(F.max(ratio)).first()[0]
         return cells.withColumn("probability", F.least(F.lit(1.0), ratio / F.lit(largest or 1.0)))
@@ -122,7 +146,7 @@ def calibrate(docs: DataFrame, targets: dict[str, DataFrame] | None = None, shar
     )
     cells = dealt.groupBy(*(F.col(name[m]).alias(m) for m in MARGINALS)).agg(F.sum(name["tokens"]).alias("tokens"))
     cells, _ = keep_counted(cells, "cells")
-    raked = keep(probabilities(rake(cells, targets or flattened(cells, power)), share), "probabilities")
+    raked = keep(probabilities(rake(cells, targets or flattened(cells, power)), share, hold=bool(targets)), "probabilities")
     rates = raked.select(*(F.col(m).alias(name[m]) for m in MARGINALS), (F.col("weight") / F.col("tokens")).alias(name["weight"]), F.col("probability").alias(name["probability"]))
     number = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(4)), 11) / F.lit(float(1 << 53))
     return dealt.join(rates, [name[m] for m in MARGINALS]).withColumn(name["sampled"], number < F.col(name["probability"])), name
