@@ -16,6 +16,7 @@ placed each by themselves; an empty table gives no shard. Other columns are not
 from __future__ import annotations
 
 import math
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,12 +33,15 @@ def _prefix(depth: Column) -> Column:
     return F.substring(F.col("bits"), F.lit(1), depth)
 
 
-def sizes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, bytes, place, bits): what shards are made of; bits is the key as 128 digits 0 and 1."""
+def sizes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", place: Column | None = None) -> DataFrame:
+    """(id, bytes, place, bits): what shards are made of; bits is the key as 128 digits 0 and 1.
+
+    ``place`` tells the rows apart; without it they are numbered.
+    """
     text = F.col(text_column)
     rows = docs.select(
         F.col(id_column).alias("id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"),
-        F.xxhash64(F.col(id_column), text).alias("h"), F.monotonically_increasing_id().alias("place"),
+        F.xxhash64(F.col(id_column), text).alias("h"), (F.monotonically_increasing_id() if place is None else place).alias("place"),
     )
     rows = keep(rows, "sizes")  # written, so that a place never changes
     digits = lambda c: F.lpad(F.bin(c), 64, "0")
@@ -46,7 +50,11 @@ def sizes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
 def shard(docs: DataFrame, limit: int = LIMIT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: id, bytes, shard (the bucket's prefix), depth, shard_bytes."""
-    rows = sizes(docs, id_column, text_column)
+    return _dealt(sizes(docs, id_column, text_column), limit).drop("place").withColumnRenamed("id", id_column)
+
+
+def _dealt(rows: DataFrame, limit: int) -> DataFrame:
+    """The rows of ``sizes`` with their shards: id, place, bytes, shard, depth, shard_bytes."""
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     start = max(0, math.ceil(math.log2(total / limit))) if total else 0
     rows, n = rows.withColumn("depth", F.lit(start)), 1
@@ -61,9 +69,9 @@ def shard(docs: DataFrame, limit: int = LIMIT, id_column: str = "doc_id", text_c
         deeper = F.when(F.col("equal") & (F.col("depth") < 64), F.least(F.lit(128), 64 + more)).otherwise(F.col("depth") + 1)
         fits = (F.col("shard_bytes") <= limit) | (F.col("n") == 1) | (F.col("depth") >= 128)
         placed = keep(marked.join(buckets.withColumn("fits", fits).withColumn("next", deeper), ["depth", "shard"]), "placed")
-        done.append(placed.filter("fits").select("id", "bytes", "shard", "depth", "shard_bytes"))
+        done.append(placed.filter("fits").select("id", "place", "bytes", "shard", "depth", "shard_bytes"))
         rows, n = keep_counted(placed.filter("not fits").select("id", "bytes", "place", "bits", F.col("next").alias("depth")), "oversized")
-    return reduce(DataFrame.union, done).withColumnRenamed("id", id_column)
+    return reduce(DataFrame.union, done)
 
 
 def directory(placed: DataFrame) -> DataFrame:
@@ -75,6 +83,9 @@ def directory(placed: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Write the documents as Parquet, a folder per shard. Documents are matched to shards by doc_id."""
-    placed = shard(docs, limit).select("doc_id", "shard").dropDuplicates(["doc_id"])
-    docs.join(placed.withColumnRenamed("shard", "_shard"), "doc_id", "left").repartition("_shard").write.partitionBy("_shard").parquet(path)
+    """Write the documents as Parquet, a folder per shard. Rows are numbered in a table written once
+    and matched to shards by their number, so repeated and null ids are placed each by themselves."""
+    place = f"place_{uuid.uuid4().hex[:8]}"
+    rows = keep(docs.withColumn(place, F.monotonically_increasing_id()), "numbered")
+    placed = _dealt(sizes(rows, place=F.col(place)), limit).select(F.col("place").alias(place), F.col("shard").alias("_shard"))
+    rows.join(placed, place).drop(place).repartition("_shard").write.partitionBy("_shard").parquet(path)

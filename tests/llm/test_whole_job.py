@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from caseweave.llm import mixing
+from caseweave.llm import mixing, shards
+
+from .conftest import ODD
 
 
 # mixing
@@ -33,3 +35,17 @@ def test_no_lift_sets_a_rate_under_a_half(spark):
     assert found["b"] == 1.0 and found["a"] == pytest.approx(5 / 9 / mixing.MOST_LIFT)
     held = {r.source: r.probability for r in mixing.probabilities(cells).collect()}
     assert held["b"] == 1.0 and held["a"] == pytest.approx(1 / 9)
+
+
+# shards
+
+
+def test_written_shards_hold_all_rows_within_the_limit(spark, documents, tmp_path):
+    rows = [*ODD, *[(7, "x" * 100)] * 40, *[(None, "y" * 90)] * 40]
+    shards.write_shards(documents(rows), str(tmp_path / "shards"), 500)
+    written = spark.read.parquet(str(tmp_path / "shards"))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in written.collect()), key=key) == sorted(rows, key=key)
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    over = written.groupBy(F.regexp_extract(F.input_file_name(), "_shard=([^/]*)", 1)).agg(F.sum(size).alias("bytes"), F.count("*").alias("n")).filter("bytes > 500 and n > 1")
+    assert over.count() == 0 and set(written.columns) == {*documents(ODD).columns, "_shard"}
