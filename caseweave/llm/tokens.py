@@ -93,17 +93,20 @@ class ByteBpe(Stretches):
 
     The pre-tokenizer always begins a new word at a space that a character other than white space
     follows, so a text can be cut there and the ids of its stretches joined (tested against whole
-    texts).
+    texts). With ``special`` the file's special strings in a text are their own ids, as the library
+    has it by default, and white space before them is a word that no cut may divide; without it they
+    are spelled out like other text.
     """
 
     #: First bytes of what may be white space after a space: no cut there.
     _NO_CUT = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.special] if special else []
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
@@ -114,13 +117,19 @@ class ByteBpe(Stretches):
     def cuts(self, data: np.ndarray) -> np.ndarray:
         cut = np.zeros(len(data) + 1, bool)
         cut[:-2] = (data[:-1] == 0x20) & self.may_cut[data[1:]]
+        whole = data.tobytes() if self.special else b""
+        for mark in self.special:
+            at = whole.find(mark)
+            while at >= 0:
+                cut[max(at - 1, 0)] = False
+                at = whole.find(mark, at + len(mark))
         return cut
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ask(self, keys: list[int], stretches: list[bytes]) -> None:
-        plain = [b[:1] == b" " and b.count(b" ") == 1 for b in stretches]
+        plain = [b[:1] == b" " and b.count(b" ") == 1 and not any(mark in b for mark in self.special) for b in stretches]
         simple = [i for i, yes in enumerate(plain) if yes]
         other = [i for i, yes in enumerate(plain) if not yes]
         for at in range(0, len(simple), 2000):
@@ -136,21 +145,24 @@ class ByteBpe(Stretches):
             self._learn([keys[i] for i in other], np.concatenate(found), np.array([len(x) for x in found]))
 
 
-_loaded: dict[str, ByteBpe] = {}
+_loaded: dict[tuple[str, bool], ByteBpe] = {}
 
 
-def tokenizer(path: str) -> ByteBpe:
+def tokenizer(path: str, special: bool = False) -> ByteBpe:
     """One tokenizer per worker process, with what it has learnt."""
-    if path not in _loaded:
-        _loaded[path] = ByteBpe(path)
-    return _loaded[path]
+    if (path, special) not in _loaded:
+        _loaded[path, special] = ByteBpe(path, special)
+    return _loaded[path, special]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, block_tokens: int = BLOCK_TOKENS) -> None:
-    """Encode whole texts, add ``end_id`` to each, and write the blocks in ascending doc_id order."""
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, block_tokens: int = BLOCK_TOKENS, special: bool = False) -> None:
+    """Encode whole texts, add ``end_id`` to each, and write the blocks in ascending doc_id order.
+
+    ``special``: special strings of the tokenizer in a text are their own ids.
+    """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, shard, block = tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
+        bpe, shard, block = tokenizer(tokenizer_path, special), TaskContext.get().partitionId(), 0
         doc_ids: list = []
         lengths: list[np.ndarray] = []
         held: list[np.ndarray] = []

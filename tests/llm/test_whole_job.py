@@ -1,9 +1,14 @@
 """What the operators must not leave out: rare values, repeated and null ids, special strings."""
 
+import zlib
+
+import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from caseweave.llm import mixing, shards
+from caseweave.llm import mixing, queries, shards
 
 from .conftest import ODD
 
@@ -49,3 +54,19 @@ def test_written_shards_hold_all_rows_within_the_limit(spark, documents, tmp_pat
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     over = written.groupBy(F.regexp_extract(F.input_file_name(), "_shard=([^/]*)", 1)).agg(F.sum(size).alias("bytes"), F.count("*").alias("n")).filter("bytes > 500 and n > 1")
     assert over.count() == 0 and set(written.columns) == {*documents(ODD).columns, "_shard"}
+
+
+# token files
+
+
+def test_special_strings_are_ids_of_their_own(spark, documents, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    mark = "<|endoftext|>"
+    texts = ["x <|endoftext|> y", "x  <|endoftext|>  y", " <|endoftext|>", "a\n <|endoftext|><|endoftext|> b c", "<|endof text|>", *(f" w{i}{mark} v{i}" for i in range(20))]
+    monkeypatch.setattr(queries, "table", lambda *_: documents(list(enumerate(texts))))
+    found = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in queries.op2_token_files(spark, "").collect()}
+    for i, text in enumerate(texts):
+        ids = np.array([*plain.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        assert found[i] == (len(ids), zlib.crc32(ids.tobytes()))
+        assert (50256 in ids) == (mark in text)
