@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseweave.llm import mixing, neardup, pii, quality, sentencepiece
-from caseweave.storage import shared_folder
+from caseweave.storage import keep, shared_folder
 
 SHINGLE_WORDS = 5  # near copies share 80 of 100 shingles of five words
 FLATTEN = 0.95  # target shares are present shares to this power: mild, so that most documents stay
@@ -29,13 +29,20 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: the document with the least id of each group of near copies stays.
+    """Operator 5: the row with the least id of each group of near copies stays.
 
-    Rows without an id or without words belong to no group and stay.
+    Rows are numbered in a table written once, so repeated ids are rows of their own and rows without
+    an id are in groups, in which one with an id comes first. Rows without words belong to no group
+    and stay.
     """
-    found = neardup.near_duplicates(docs, k=SHINGLE_WORDS)
-    gone = found.filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    place = f"place_{uuid.uuid4().hex[:8]}"
+    rows = keep(docs.withColumn(place, F.monotonically_increasing_id()), "numbered")
+    found = neardup.near_duplicates(rows.select(F.col(place).alias("doc_id"), "text"), k=SHINGLE_WORDS)
+    found = keep(found.select(F.col("doc_id").alias(place), "component_id"), "found")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", place)).alias("first")
+    stays = found.join(rows.select(place, "doc_id"), place).groupBy("component_id").agg(first).select(F.col(f"first.{place}"))
+    gone = found.select(place).join(stays, place, "left_anti")
+    return rows.join(gone, place, "left_anti").select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

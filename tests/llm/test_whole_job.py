@@ -1,14 +1,18 @@
 """What the operators must not leave out: rare values, repeated and null ids, special strings."""
 
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from caseweave.llm import mixing, queries, shards
+import corpus_pipeline
+from caseweave.llm import mixing, pii, queries, shards, vectors
 
 from .conftest import ODD
 
@@ -70,3 +74,15 @@ def test_special_strings_are_ids_of_their_own(spark, documents, monkeypatch):
         ids = np.array([*plain.encode(text, add_special_tokens=False).ids, 2], "<u4")
         assert found[i] == (len(ids), zlib.crc32(ids.tobytes()))
         assert (50256 in ids) == (mark in text)
+
+
+# the pipeline
+
+
+def test_copies_without_an_id_go_and_a_clean_text_with_a_shared_id_stays(spark, documents):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, c), (None, "d e f g h i j"), (None, "d e f g h i j"), (None, None), (None, None)]
+    found = corpus_pipeline.near_dedup(spark, documents(rows), "")
+    assert found.columns == documents(rows).columns
+    wanted = [(1, a), (2, b), (3, c), (None, "d e f g h i j"), (None, None), (None, None)]
+    assert Counter((r.doc_id, r.text) for r in found.collect()) == Counter(wanted)
