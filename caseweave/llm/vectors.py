@@ -4,9 +4,10 @@
    matrix (``ROTATIONS`` of them); the signs are its code. The code's inner product with the vector
    itself is its correction factor: it makes <code, q> / <code, v> an unbiased estimate of <v, q>,
    with a known spread, so each comparison comes with a confidence bound.
-2. Bits of the codes also make the keys of hash tables. The number of bits grows with the logarithm
-   of the number of vectors, and the number of tables so that two vectors at the threshold meet in
-   one with chance ``1 - MISS``; work grows with a power of about 1.2 of the vectors, not 2.
+2. Sides of random hyperplanes make the keys of hash tables; each table has its own, so tables are
+   independent for any two vectors. The number of bits grows with the logarithm of the number of
+   vectors, and the number of tables so that two vectors at the threshold meet in one with chance
+   ``1 - MISS``, at every size and dimension; work grows with a power of about 1.2 of the vectors, not 2.
 3. Vectors of a bucket are compared in blocks within a task. A pair whose upper bound is below the
    threshold is dropped; all others are recomputed in double precision. A pair that meets in several
    tables counts in the first. A block returns per vector the links counted and the least vector
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -68,14 +70,19 @@ def encode(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(turned >= 0, 1, -1).astype(np.int8), np.abs(turned).sum(1)
 
 
-def table_keys(codes: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """The key of each vector in each table: bits at random places of its code, another choice per table."""
-    rng = np.random.default_rng(codes.shape[1] * 1000 + bits)
-    out = np.empty((len(codes), tables), np.int32)
+@lru_cache(4)
+def planes(dim: int, bits: int, tables: int) -> np.ndarray:
+    """Random hyperplanes (tables x dim x bits), drawn apart from each other and from the rotations; the same everywhere."""
+    return np.random.default_rng([dim, bits]).standard_normal((tables, dim, bits))
+
+
+def table_keys(unit: np.ndarray, bits: int, tables: int, first: int | None = None) -> np.ndarray:
+    """The key of each vector in each table (or the ``first`` ones): its sides of the table's own hyperplanes."""
+    normals = planes(unit.shape[1], bits, tables)[:first]
+    out = np.empty((len(unit), len(normals)), np.int32)
     weights = 1 << np.arange(bits)
-    for t in range(tables):
-        places = rng.choice(codes.shape[1], min(bits, codes.shape[1]), replace=False)
-        out[:, t] = (codes[:, places] > 0) @ weights[: len(places)]
+    for t, normal in enumerate(normals):
+        out[:, t] = (unit @ normal > 0) @ weights
     return out
 
 
@@ -124,7 +131,7 @@ def _compare(block: pd.DataFrame, table: int, cosine: float, bits: int, tables:
     i, j = i[yes], j[yes]
     if table and len(i):
         used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
-        keys = table_keys(codes[used], bits, tables)[:, :table]
+        keys = table_keys(unit[used], bits, tables, table)
         a, b = place[: len(i)], place[len(i) :]
         fresh = np.ones(len(i), bool)
         for at in range(0, len(i), PAIRS):
@@ -169,7 +176,7 @@ def _described(bits: int, tables: int):
     def described(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for _, same in frame.groupby("dim"):
-                yield same.assign(keys=list(table_keys(encode(units(same["v"]))[0], bits, tables)))
+                yield same.assign(keys=list(table_keys(units(same["v"]), bits, tables)))
 
     return described
 

@@ -86,3 +86,16 @@ def test_copies_without_an_id_go_and_a_clean_text_with_a_shared_id_stays(spark,
     assert found.columns == documents(rows).columns
     wanted = [(1, a), (2, b), (3, c), (None, "d e f g h i j"), (None, None), (None, None)]
     assert Counter((r.doc_id, r.text) for r in found.collect()) == Counter(wanted)
+
+
+# vectors
+
+
+def test_tables_miss_no_more_than_stated_in_few_dimensions():
+    rng = np.random.default_rng(3)
+    bits, tables = vectors.shape_of_tables(1_500_000)
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.standard_normal((2, 20000, 16)))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.9 * a + math.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    keys = [np.stack(next(vectors._described(bits, tables)([pd.DataFrame({"v": list(x), "dim": 16})]))["keys"]) for x in (a, b)]
+    assert (keys[0] != keys[1]).all(1).mean() < 2 * vectors.MISS
