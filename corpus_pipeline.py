@@ -3,7 +3,7 @@
 Every stage takes what the one before it kept, written as Parquet and read again, and its decisions
 take effect: low-quality and toxic documents go, one document of each group of near copies stays,
 personal data is masked in the texts, sources are sampled to their target weights, and what is left
-becomes SentencePiece ids. All stages but the last return the columns of ``documents``.
+becomes SentencePiece ids, which are decoded again. All stages but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -56,9 +56,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: (doc_id, source, lang, n_chars, n_pieces, ids) of the masked texts."""
-    encoded = sentencepiece.encode(docs.select("doc_id", "text", "source", "lang", "n_chars"), public_tokenizers.path(MODEL))
-    return encoded.select("doc_id", "source", "lang", "n_chars", F.size("ids").cast("long").alias("n_pieces"), "ids")
+    """Operator 1: (doc_id, source, lang, n_chars, n_pieces, ids, round_trip) of the masked texts.
+
+    The ids are decoded again; round_trip says whether that gives the text.
+    """
+    path = public_tokenizers.path(MODEL)
+    both = sentencepiece.decode(sentencepiece.encode(docs.select("doc_id", "text", "source", "lang", "n_chars"), path), path)
+    round_trip = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(sentencepiece.MARK), F.lit(" "))
+    return both.select("doc_id", "source", "lang", "n_chars", F.size("ids").cast("long").alias("n_pieces"), "ids", round_trip.alias("round_trip"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -66,7 +71,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("MinHash near-dedup", near_dedup),
     ("PII", mask_personal_data),
     ("mixing sources to target weights", mix_sources),
-    ("SentencePiece encoding", encode_pieces),
+    ("SentencePiece encoding and decoding", encode_pieces),
 ]
 
 #: SQL has neither the trained models nor the hashes of the stages; the tests compare them with brute force.

@@ -88,6 +88,12 @@ def test_copies_without_an_id_go_and_a_clean_text_with_a_shared_id_stays(spark,
     assert Counter((r.doc_id, r.text) for r in found.collect()) == Counter(wanted)
 
 
+def test_the_last_stage_decodes_what_it_encodes(spark, documents):
+    rows = [*ODD, (9, "x▁y  é")]
+    found = corpus_pipeline.encode_pieces(spark, documents(rows), "").toPandas()
+    assert len(found) == len(rows) and found.round_trip.all()
+
+
 # vectors
 
 
