@@ -95,10 +95,16 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _part(digits: str) -> int:
+    """The value of a part of an address, however many zeros it begins with; 256 if it is larger than 255."""
+    digits = digits.lstrip("0")
+    return min(256, int(digits or "0")) if len(digits) <= 3 else 256
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the base patterns by kind, then place; leftmost, without overlap within a kind."""
     found = [("email", s, e) for s, e in _emails(text)] if "@" in text else []
-    found += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p) < 20 and int(p) <= 255 for p in m.group().split("."))]
+    found += [("ip", *m.span()) for m in IP.finditer(text) if all(_part(p) <= 255 for p in m.group().split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13 and 13 <= len(d := _digits(m.group())) <= 19 and luhn(d):
             found.append(("card", *m.span()))
@@ -130,7 +136,7 @@ def _votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
         value = 1 if len(span) <= 254 and span.index("@") <= 64 else -1
         gazetteer = 1 if span.rpartition(".")[2].lower() in TOP_DOMAINS else 0
     elif kind == "ip":
-        parts = [int(p) for p in span.split(".")]
+        parts = [_part(p) for p in span.split(".")]
         shape = 1 if all(str(n) == p for n, p in zip(parts, span.split("."), strict=True)) else -1
         value = 1 if 0 < parts[0] < 240 else -1
         gazetteer = -1 if parts[0] in (0, 127) else 0

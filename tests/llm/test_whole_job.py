@@ -105,3 +105,13 @@ def test_tables_miss_no_more_than_stated_in_few_dimensions():
     b = 0.9 * a + math.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
     keys = [np.stack(next(vectors._described(bits, tables)([pd.DataFrame({"v": list(x), "dim": 16})]))["keys"]) for x in (a, b)]
     assert (keys[0] != keys[1]).all(1).mean() < 2 * vectors.MISS
+
+
+# personal data
+
+
+def test_parts_of_an_address_may_begin_with_many_zeros():
+    text = "at 00000000000000000000001.2.3.4 or 256.1.1.1 or 1.2.3." + "9" * 5000 + " or 0.0.0." + "0" * 5000
+    spans = pii.base_spans(text)
+    assert [s for s in spans if s[0] == "ip"] == [("ip", 3, 32), ("ip", text.index("0.0.0."), len(text))]
+    assert all(pii._votes(text, *s) for s in spans)
