@@ -1,8 +1,10 @@
 """Mixing sources to target weights, by iterative proportional fitting.
 
 Tokens are summed by cell (source, language, topic). The cells' weights are raked: scaled to the
-target shares of one marginal after the other until all three hold. The weight of a cell per token
-it has, times a common factor, is the probability with which its documents are sampled. With given
+target shares of one marginal after the other until all three hold. Targets that contradict each
+other (a value that only occurs with another one has a different goal) cannot all hold: after
+``SWEEPS`` the last marginal, topic, holds, source and lang are off, and by how much is logged. The
+weight of a cell per token it has, times a common factor, is the probability with which its documents are sampled. With given
 targets the factor is the largest that leaves every probability at most 1, so that the expected
 sample holds all targets; a share of all tokens can be asked for instead, and then probabilities
 are capped at 1. Whether a document is in is decided by a hash of its id, so the same sample comes
@@ -24,6 +26,7 @@ empty results. Other columns pass through ``mix`` unchanged.
 
 from __future__ import annotations
 
+import logging
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +35,8 @@ from pyspark.sql import functions as F
 from caseweave.llm.graph import keep_counted
 from caseweave.storage import keep
 
+log = logging.getLogger(__name__)
+
 MARGINALS = ("source", "lang", "topic")
 FLATTEN = 0.9
 SWEEPS = 40
@@ -61,7 +66,8 @@ def topic_of(text: Column) -> Column:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
     """Cells (marginals, tokens) with ``weight`` whose marginal shares are those of ``targets``.
 
-    A target is a table (value, share); its shares are taken relative to their sum.
+    A target is a table (value, share); its shares are taken relative to their sum. What is still off
+    after the last sweep is logged as a warning.
     """
     wanted, total = {}, cells.agg(F.sum("tokens")).scalar()
     for m in MARGINALS:
@@ -83,9 +89,22 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
         cells = cells.drop("off")
         if worst is None or worst < CLOSE:
             break
+    else:
+        off = deviations(cells, wanted)
+        if max(off.values()) >= CLOSE:
+            log.warning("raking ended after %d sweeps; largest relative distance from a target: %s", sweeps, ", ".join(f"{m} {x:.2g}" for m, x in off.items()))
     return cells
 
 
+def deviations(cells: DataFrame, wanted: dict[str, DataFrame]) -> dict[str, float]:
+    """The largest relative distance of a value's weight from its goal, by marginal."""
+    found = {}
+    for m in MARGINALS:
+        sums = cells.groupBy(m).agg(F.sum("weight").alias("is")).join(wanted[m].filter("goal > 0"), m)
+        found[m] = sums.agg(F.max(F.abs(F.col("is") / F.col("goal") - 1))).first()[0] or 0.0
+    return found
+
+
 def flattened(cells: DataFrame, power: float = FLATTEN) -> dict[str, DataFrame]:
     """Targets that are the present shares to a power."""
     return {m: cells.groupBy(F.col(m).alias("value")).agg(F.pow(F.sum("tokens"), F.lit(power)).alias("share")) for m in MARGINALS}

@@ -46,6 +46,13 @@ def test_no_lift_sets_a_rate_under_a_half(spark):
     assert held["b"] == 1.0 and held["a"] == pytest.approx(1 / 9)
 
 
+def test_contradicting_targets_are_told(spark, caplog):
+    cells = spark.createDataFrame([("a", "x", "t", 90.0), ("", "", "t", 10.0)], "source string, lang string, topic string, tokens double")
+    goal = lambda **shares: spark.createDataFrame([(v.strip("_"), x) for v, x in shares.items()], "value string, share double")
+    rows = mixing.rake(cells, {"source": goal(a=0.5, _=0.5), "lang": goal(x=0.8, _=0.2), "topic": goal(t=1.0)}, sweeps=2).toPandas()
+    assert "source 0.6, lang" in caplog.text and rows.weight.sum() == pytest.approx(100)
+
+
 # shards
 
 
