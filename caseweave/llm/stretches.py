@@ -16,6 +16,8 @@ CACHED = 1 << 20
 
 
 class Stretches:
+    most = CACHED  # stretches that one of these remembers
+
     def __init__(self) -> None:
         self.code = W.alphabet(b"").code
         self._forget()
@@ -58,7 +60,7 @@ class Stretches:
         end = np.append(start[1:], len(data))
         owner = np.searchsorted(offsets, start, side="right") - 1
         codes, keys = pd.factorize(W.hash_spans(data, start, end, self.code))
-        if len(self.place) + len(keys) > CACHED:
+        if len(self.place) + len(keys) > self.most:
             self._forget()
         known = keys.tolist()
         place = np.fromiter((self.place.get(k, -1) for k in known), np.int64, len(known))
