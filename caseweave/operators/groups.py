@@ -146,6 +146,11 @@ def _reach(rows: DataFrame, support: DataFrame, floor: int) -> DataFrame:
     return rows.join(support.filter(F.col("n") >= floor).select("item"), "item", "left_semi")
 
 
+def seed_floor(rows: DataFrame, count: Callable[[DataFrame], DataFrame], size: int, k: int) -> int:
+    """A count that each of the k most frequent sets reaches: the k-th best among sets of the few most common items."""
+    return _floor(count(rows.join(_leaders(item_support(rows), size), "item", "left_semi")), k)
+
+
 def prune_items(rows: DataFrame, count: Callable[[DataFrame], DataFrame], size: int, k: int | None) -> DataFrame:
     """Rows whose item can still be part of one of the k most frequent sets; exact.
 

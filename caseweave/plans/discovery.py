@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window, functions as F
 
 from caseweave.functions.dates import OPEN_END, day_number, year_of
-from caseweave.operators import groups, intervals, ranking
+from caseweave.operators import bitmaps, groups, intervals, ranking
 from caseweave.operators.concepts import labels, valid_concepts
 from caseweave.operators.demographics import UNKNOWN
 from caseweave.operators.groups import count_sets, item_sets, prune_items, set_columns
@@ -58,8 +58,12 @@ def _top_together(tables: Tables, kind: str, size: int, what: str, k: int | None
     baskets = _baskets(tables, kind)
     if size == 2 or k is None:
         return ranking.top_sets(tables, _together(size)(baskets), _names(size, what), k)
-    baskets = keep(baskets.withColumn("label", F.col("item")), "baskets")
-    return ranking.top_sets(tables, groups.frequent_sets(baskets, size, k), _names(size, what), k)
+    return ranking.top_sets(tables, _frequent(keep(baskets, "baskets"), size, k), _names(size, what), k)
+
+
+def _frequent(baskets: DataFrame, size: int, k: int) -> DataFrame:
+    """Counts of sets that hold the k most frequent, above the k-th best count among sets of leading items."""
+    return bitmaps.top_sets(baskets, size, k, groups.seed_floor(baskets, _together(size), size, k))
 
 
 def _names(size: int, what: str) -> dict[str, str]:
@@ -178,7 +182,9 @@ def drug_quads_in_head(tables: Tables, k: int | None = 10, head: int | None = No
     taken = known.join(eras.select("item").distinct(), "item", "left_semi")
     named = taken.select("item", F.min("item").over(Window.partitionBy("concept_name")).alias("label"))
     baskets = keep(eras.select("person_id", "item").distinct().join(named, "item"), "baskets")
-    if k is None:
+    if k is not None and not baskets.filter("item <> label").limit(1).count():  # every name is one concept
+        counts = _frequent(baskets.select("person_id", "item"), 4, k)
+    elif k is None:
         sets = item_sets(baskets, ["person_id"], 4).select("person_id", *[F.col(f"label{n}").alias(f"i{n}") for n in range(1, 5)])
         counts = count_sets(sets, set_columns(4), unique=False)
     else:
