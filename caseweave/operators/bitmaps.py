@@ -1,22 +1,28 @@
 """The k most frequent item sets by vertical bitmaps.
 
-The search is divided by the lowest item of a set. Its *unit* has a row for each patient with that item:
-the patient's other, higher items. A task turns a unit into bitmaps, one per item, a bit per patient, and
-goes down depth first: the bitmaps of all later items are intersected with that of the chosen one, in one
-step, and the bits counted. What falls below the floor is not followed. The floor is the k-th best count
-so far; it rises while the task goes from unit to unit, lowest items first, and once k sets stand at the
-floor a later unit must exceed it, as ties go to the lower ids. Only a task's k best sets leave it.
-
-An item of very many patients has several units, each with a range of them. A set among the k best has
-at least the r-th part of the floor in one of the r ranges; the sets that reach that anywhere are
-candidates, and their bits are then counted in all ranges and added up. So no unit is larger than
-``RANGE`` patients, and nothing is left out.
+What is counted is patients: those who have all items of a set (*together*, from baskets), those in whom
+all of them are under way at once (*overlapping*, from the cliques of ``sweep.py``), or those who have
+them all but never at once (*separate*, from both).
+
+The search is divided by the lowest item of a set. Its *unit* has a row for each basket or clique with
+that item: the other, higher items. A task turns a unit into bitmaps, one per item: a bit per basket, and
+for the cliques a few whole bytes per patient. It goes down depth first: the bitmaps of all later items
+are intersected with that of the chosen one, in one step, and patients counted. What falls below the
+floor is not followed. The floor is the k-th best count so far; it rises while the task goes from unit to
+unit, lowest items first, and once k sets stand at the floor a later unit must exceed it, as ties go to
+the lower ids. Only a task's k best sets leave it.
+
+An item with very many rows has several units, each with a range of its patients. A set among the k best
+has at least the r-th part of the floor in one of the r ranges; the sets that reach that anywhere are
+candidates, and are then counted in all ranges and added up. So no unit is larger than ``RANGE`` rows on
+average, and nothing is left out.
 """
 
 from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,36 +30,94 @@ from pyspark.sql import DataFrame, functions as F
 
 from caseweave.storage import keep
 
-RANGE = 1 << 16  # patients of a unit
+RANGE = 1 << 16  # rows of a unit
 ITEMS_AT_ONCE = 256  # whose bits are laid out together
+SETS_AT_ONCE = 4096
 
 
-def _bitmaps(rows: np.ndarray, which: np.ndarray, items: int, patients: int) -> np.ndarray:
-    """A row of packed bits per item from (row, item) pairs."""
-    out = np.zeros((items, -(-patients // 8)), np.uint8)
+class Bits(NamedTuple):
+    """Bitmaps of some items: baskets in the first ``split`` bytes, then cliques, each byte of one patient."""
+
+    rows: np.ndarray
+    owner: np.ndarray
+    split: int
+
+    def chosen(self, which: np.ndarray) -> Bits:
+        return self._replace(rows=self.rows[which])
+
+    def behind(self, n: int) -> Bits:
+        """The later items where item ``n`` is, without the bytes in which it is not."""
+        at = np.flatnonzero(self.rows[n])
+        return Bits(self.rows[n + 1 :, at] & self.rows[n, at], self.owner[at], int(np.searchsorted(at, self.split)))
+
+    def having(self) -> np.ndarray:
+        """Patients by baskets, for each item."""
+        return np.bitwise_count(self.rows[:, : self.split]).sum(axis=1, dtype=np.int64)
+
+    def meeting(self) -> np.ndarray:
+        """Patients by cliques."""
+        rows, owner = self.rows[:, self.split :], self.owner[self.split :]
+        starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else []
+        if len(starts) < len(owner):
+            rows = np.bitwise_or.reduceat(rows, starts, axis=1)
+        return np.count_nonzero(rows, axis=1)
+
+
+def _laid_out(where: np.ndarray, which: np.ndarray, items: int, size: int) -> np.ndarray:
+    """A row of packed bits per item from (bit, item) pairs."""
+    out = np.zeros((items, size), np.uint8)
     order = np.argsort(which, kind="stable")
-    rows, which = rows[order], which[order]
+    where, which = where[order], which[order]
     for low in range(0, items, ITEMS_AT_ONCE):
         a, b = np.searchsorted(which, [low, low + ITEMS_AT_ONCE])
-        bits = np.zeros((min(ITEMS_AT_ONCE, items - low), patients), bool)
-        bits[which[a:b] - low, rows[a:b]] = True
+        bits = np.zeros((min(ITEMS_AT_ONCE, items - low), 8 * size), bool)
+        bits[which[a:b] - low, where[a:b]] = True
         out[low : low + len(bits)] = np.packbits(bits, axis=1)
     return out
 
 
-def _count(bits: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(bits).sum(axis=-1, dtype=np.int64)
+class Unit(NamedTuple):
+    """Rows of one lowest item: cliques (or else baskets), their patients, how many others each has, and these in a row."""
+
+    cliques: np.ndarray
+    person: np.ndarray
+    lengths: np.ndarray
+    others: np.ndarray
+
+    def bits(self, which: np.ndarray, stay: np.ndarray, items: int) -> Bits:
+        """Bitmaps of ``items`` items, of those ``others`` that ``stay``, numbered by ``which``."""
+        baskets = int((~self.cliques).sum())  # they come first
+        split = -(-baskets // 8)
+        person = self.person[baskets:]
+        first = np.flatnonzero(np.append(True, person[1:] != person[:-1])) if len(person) else np.zeros(0, np.int64)
+        own = np.diff(first, append=len(person))
+        bytes_of = -(-own // 8)
+        begin = split + np.cumsum(bytes_of) - bytes_of
+        bit = np.concatenate([np.arange(baskets), np.repeat(8 * begin - first, own) + np.arange(len(person))])
+        owner = np.concatenate([np.full(split, -1), np.repeat(np.arange(len(own)), bytes_of)])
+        rows = _laid_out(np.repeat(bit, self.lengths)[stay], which[stay], items, len(owner))
+        return Bits(rows, owner, split)
+
+
+TOGETHER, OVERLAPPING, SEPARATE = "together", "overlapping", "separate"
 
 
 class Search:
-    """Depth first over bitmaps; ``k`` best sets by count, then by ids."""
+    """Depth first over bitmaps; the ``k`` best sets by count, then by ids."""
 
-    def __init__(self, size: int, k: int, floor: int):
-        self.size, self.k, self.floor = size, k, max(floor, 1)
+    def __init__(self, size: int, k: int, floor: int, what: str = TOGETHER):
+        self.size, self.k, self.floor, self.what = size, k, max(floor, 1), what
         self.best: list[tuple[int, tuple[int, ...]]] = []  # (-count, ids), in order
         self.share = 0  # over 0: keep every set that reaches this part of the floor
         self.found: list[tuple[int, tuple[int, ...]]] = []
 
+    def _at_most(self, bits: Bits) -> np.ndarray:
+        """What no set with these items can exceed."""
+        return bits.meeting() if self.what == OVERLAPPING else bits.having()
+
+    def counts(self, bits: Bits) -> np.ndarray:
+        return bits.having() - bits.meeting() if self.what == SEPARATE else self._at_most(bits)
+
     def _needs(self, first: int) -> int:
         if self.share:
             return -(-self.floor // self.share)
@@ -69,58 +133,56 @@ class Search:
                 del self.best[self.k :]
                 self.floor = max(self.floor, -self.best[-1][0])
 
-    def unit(self, first: int, lengths: np.ndarray, others: np.ndarray, share: int = 0) -> list[tuple[int, tuple[int, ...]]]:
-        """All of one unit: ``others`` has the higher items of each of its patients in a row. With ``share``
-        the unit is one of so many ranges: the sets that may be among the best come back with their counts here."""
+    def unit(self, first: int, unit: Unit, share: int = 0) -> list[tuple[int, tuple[int, ...]]]:
+        """All sets of one unit. With ``share`` it is one of so many ranges: the sets that may be among the
+        best come back with their counts here."""
         self.share, self.found = share, []
         if share:  # counts of a range bound those of the whole from below: they may raise the floor, here only
             held = self.best, self.floor
             self.best = []
-        ids, which, counts = np.unique(others, return_inverse=True, return_counts=True)
-        high = counts >= self._needs(first)
+        ids, which = np.unique(unit.others, return_inverse=True)
+        rows = np.bincount(which, minlength=len(ids))  # at least as many as patients
+        high = rows >= self._needs(first)
         if high.sum() >= self.size - 1:
-            place = np.cumsum(high) - 1
-            rows = np.repeat(np.arange(len(lengths)), lengths)
-            stay = high[which]
-            bits = _bitmaps(rows[stay], place[which[stay]], int(high.sum()), len(lengths))
-            self._grow((first,), *self._sorted(bits, ids[high], counts[high]))
+            bits = unit.bits(np.cumsum(high)[which] - 1, high[which], int(high.sum()))
+            self._grow((first,), bits, ids[high])
         if share:
             needs = self._needs(first)
             self.found = [f for f in self.found if f[0] >= needs]
             self.best, self.floor = held
         return self.found
 
-    @staticmethod
-    def _sorted(bits: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _grow(self, chosen: tuple[int, ...], bits: Bits, ids: np.ndarray) -> None:
+        left = self.size - len(chosen)
+        counts = self.counts(bits) if left == 1 else self._at_most(bits)
         order = np.argsort(-counts, kind="stable")
-        return bits[order], ids[order], counts[order]
-
-    def _grow(self, chosen: tuple[int, ...], bits: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        if len(chosen) == self.size - 1:
-            for n in np.flatnonzero(counts >= self._needs(chosen[0])):
-                if counts[n] < self._needs(chosen[0]):
-                    break  # the floor has risen and counts fall
-                self._offer(int(counts[n]), (chosen[0], *sorted((*chosen[1:], int(ids[n])))))
+        order = order[counts[order] >= self._needs(chosen[0])]
+        if len(order) < left:
             return
-        left = self.size - len(chosen) - 1
-        for n in range(len(ids) - left):
-            needs = self._needs(chosen[0])
-            if counts[n] < needs:
-                break
-            at = np.flatnonzero(bits[n])
-            later = bits[n + 1 :, at] & bits[n, at]
-            both = _count(later)
-            high = both >= needs
-            if high.sum() >= left:
-                self._grow((*chosen, int(ids[n])), *self._sorted(later[high], ids[n + 1 :][high], both[high]))
-
-
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, ...], np.ndarray, np.ndarray]]:
-    """(key, lengths, others) of neighbouring rows (first, ranges, range, others)."""
-    key, lengths, others = None, [], []
+        counts, ids = counts[order], ids[order]
+        if left == 1:
+            for n, count in enumerate(counts.tolist()):
+                if count < self._needs(chosen[0]):
+                    return  # the floor has risen
+                self._offer(count, (chosen[0], *sorted((*chosen[1:], int(ids[n])))))
+            return
+        bits = bits.chosen(order)
+        for n in range(len(ids) - left + 1):
+            if counts[n] < self._needs(chosen[0]):
+                return
+            self._grow((*chosen, int(ids[n])), bits.behind(n), ids[n + 1 :])
+
+
+ROW = "first long, ranges int, range int, clique boolean, person_id long, others array<long>"
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, ...], Unit]]:
+    """(first, ranges, range) and the unit of neighbouring rows."""
+    key, held = None, []
     for batch in batches:
         keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)])
-        lists = batch.column(3)
+        clique, person, lists = (batch.column(c) for c in (3, 4, 5))
+        clique, person = (c.to_numpy(zero_copy_only=False) for c in (clique, person))
         sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
         edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), len(sizes)]
@@ -129,16 +191,15 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, ...],
                 continue
             now = tuple(keys[:, a].tolist())
             if now != key and key is not None:
-                yield key, np.concatenate(lengths), np.concatenate(others)
-                lengths, others = [], []
+                yield key, Unit(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
             key = now
-            lengths.append(sizes[a:b])
-            others.append(flat[ends[a] - sizes[a] : ends[b - 1]])
+            held.append((clique[a:b], person[a:b], sizes[a:b], flat[ends[a] - sizes[a] : ends[b - 1]]))
     if key is not None:
-        yield key, np.concatenate(lengths), np.concatenate(others)
+        yield key, Unit(*map(np.concatenate, zip(*held, strict=True)))
 
 
-def _table(found: list[tuple[tuple[int, ...], int, int]], size: int) -> pa.RecordBatch:
+def _found(found: list[tuple[tuple[int, ...], int, int]]) -> pa.RecordBatch:
     """Rows (first, ids, ranges, n)."""
     return pa.RecordBatch.from_arrays(
         [pa.array([f[0][0] for f in found], pa.int64()), pa.array([list(f[0]) for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int64())],
@@ -146,60 +207,60 @@ def _table(found: list[tuple[tuple[int, ...], int, int]], size: int) -> pa.Recor
     )
 
 
-def suffixes(baskets: DataFrame, size: int) -> DataFrame:
-    """(person_id, first, others): each patient's higher items behind each item that a set of ``size`` may begin with."""
-    sorted_items = baskets.groupBy("person_id").agg(F.array_sort(F.collect_set("item")).alias("own")).filter(F.size("own") >= size)
-    at = F.posexplode(F.slice("own", 1, F.size("own") - (size - 1))).alias("at", "first")
-    placed = sorted_items.select("person_id", "own", at)
-    return placed.select("person_id", "first", F.slice("own", F.col("at") + 2, F.size("own")).alias("others"))
+def baskets_of(rows: DataFrame) -> DataFrame:
+    """(person_id, clique, items): every patient's items in order."""
+    return rows.groupBy("person_id").agg(F.array_sort(F.collect_set("item")).alias("items")).select("person_id", F.lit(False).alias("clique"), "items")
+
+
+def _suffixes(lists: DataFrame, size: int) -> DataFrame:
+    """The higher items of each list behind each item that a set of ``size`` may begin with."""
+    at = F.posexplode(F.slice("items", 1, F.size("items") - (size - 1))).alias("at", "first")
+    placed = lists.filter(F.size("items") >= size).select("person_id", "clique", "items", at)
+    return placed.select("first", "clique", "person_id", F.slice("items", F.col("at") + 2, F.size("items")).alias("others"))
 
 
-def top_sets(baskets: DataFrame, size: int, k: int, floor: int = 1, most: int = RANGE) -> DataFrame:
-    """Counts (i1 .. i<size>, n) of sets of (person_id, item) baskets; holds the k most frequent, ties by ids.
+def top_sets(lists: DataFrame, size: int, k: int, floor: int = 1, what: str = TOGETHER, most: int = RANGE) -> DataFrame:
+    """Counts (i1 .. i<size>, n) of the sets in (person_id, clique, items); holds the k most frequent, ties by ids.
 
-    ``floor`` is a count that all of them are known to reach. A basket holds an item once; ``baskets``
-    is read twice and should be a kept table.
+    ``items`` are distinct and in order. ``floor`` is a count that all of the k are known to reach.
+    ``lists`` is read twice and should be a kept table.
     """
-    support = baskets.groupBy("item").agg(F.count("*").alias("n"))
-    common = support.filter(F.col("n") >= floor)
-    rows = suffixes(baskets.join(common.select("item"), "item", "left_semi"), size)
-    hot = keep(common.filter(F.col("n") > most).select(F.col("item").alias("first"), F.ceil(F.col("n") / most).cast("int").alias("ranges")), "hot")
-    rows = rows.join(hot, "first", "left").withColumn("ranges", F.coalesce("ranges", F.lit(1)))
-    rows = rows.withColumn("range", F.pmod(F.xxhash64("person_id"), F.col("ranges")).cast("int")).select("first", "ranges", "range", "others")
+    support = lists.select(F.explode("items").alias("first")).groupBy("first").agg(F.count("*").alias("n"))
+    hot = keep(support.filter(F.col("n") > most).select("first", F.ceil(F.col("n") / most).cast("int").alias("ranges")), "hot")
+    rows = _suffixes(lists, size).join(hot, "first", "left").withColumn("ranges", F.coalesce("ranges", F.lit(1)))
+    rows = rows.withColumn("range", F.pmod(F.xxhash64("person_id"), F.col("ranges")).cast("int")).select("first", "ranges", "range", "clique", "person_id", "others")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = Search(size, k, floor)
-        for (first, ranges, _), lengths, others in _units(batches):
-            found = task.unit(first, lengths, others, share=ranges if ranges > 1 else 0)
+        task = Search(size, k, floor, what)
+        for (first, ranges, _), unit in _units(batches):
+            found = task.unit(first, unit, share=ranges if ranges > 1 else 0)
             if ranges > 1 and found:
-                yield _table([(ids, ranges, count) for count, ids in found], size)
-        yield _table([(ids, 1, -count) for count, ids in task.best], size)
+                yield _found([(ids, ranges, count) for count, ids in found])
+        yield _found([(ids, 1, -count) for count, ids in task.best])
 
-    schema = "first long, ids array<long>, ranges int, n long"
-    dealt = rows.repartition("first", "range").sortWithinPartitions("first", "range")
-    found = keep(dealt.mapInArrow(search, schema), "found")
+    dealt = rows.repartition("first", "range").sortWithinPartitions("first", "range", "clique", "person_id")
+    found = keep(dealt.mapInArrow(search, "first long, ids array<long>, ranges int, n long"), "found")
 
     # sets of items with several ranges: count the candidates in all of them
     wanted = found.filter("ranges > 1").select("first", "ids", "ranges").distinct()
-    lists = wanted.groupBy("first", "ranges").agg(F.flatten(F.collect_list("ids")).alias("sets"))
-    lists = lists.withColumn("range", F.explode(F.sequence(F.lit(0), F.col("ranges") - 1)))
+    sets = wanted.groupBy("first", "ranges").agg(F.flatten(F.collect_list("ids")).alias("sets"))
+    sets = sets.withColumn("range", F.explode(F.sequence(F.lit(0), F.col("ranges") - 1)))
 
-    def recount(unit: pa.Table, sets: pa.Table) -> pa.Table:
+    def recount(rows: pa.Table, sets: pa.Table) -> pa.Table:
         wanted = np.concatenate([c.values.to_numpy() for c in sets.column("sets")]).reshape(-1, size) if sets.num_rows else np.zeros((0, size), np.int64)
         ids, place = np.unique(wanted[:, 1:], return_inverse=True)
         place = place.reshape(-1, size - 1)
         counts = np.zeros(len(wanted), np.int64)
-        if unit.num_rows and len(wanted):
-            own = unit.column("others").combine_chunks()
-            others, lengths = own.flatten().to_numpy(), own.value_lengths().to_numpy().astype(np.int64)
-            at = np.minimum(np.searchsorted(ids, others), len(ids) - 1)
-            stay = ids[at] == others
-            bits = _bitmaps(np.repeat(np.arange(len(lengths)), lengths)[stay], at[stay], len(ids), len(lengths))
-            for low in range(0, len(wanted), 4096):
-                counts[low : low + 4096] = _count(np.bitwise_and.reduce(bits[place[low : low + 4096]], axis=1))
+        if rows.num_rows and len(wanted):
+            (_, unit), *_ = _units(rows.sort_by([("clique", "ascending"), ("person_id", "ascending")]).combine_chunks().to_batches())
+            at = np.minimum(np.searchsorted(ids, unit.others), len(ids) - 1)
+            bits = unit.bits(at, ids[at] == unit.others, len(ids))
+            for low in range(0, len(wanted), SETS_AT_ONCE):
+                some = place[low : low + SETS_AT_ONCE]
+                counts[low : low + SETS_AT_ONCE] = Search(size, k, 1, what).counts(bits._replace(rows=np.bitwise_and.reduce([bits.rows[some[:, n]] for n in range(size - 1)])))
         return pa.table({"ids": pa.array(wanted.tolist(), pa.list_(pa.int64())), "n": counts})
 
-    again = rows.filter("ranges > 1").groupBy("first", "range").cogroup(lists.groupBy("first", "range")).applyInArrow(recount, "ids array<long>, n long")
+    again = rows.filter("ranges > 1").groupBy("first", "range").cogroup(sets.groupBy("first", "range")).applyInArrow(recount, "ids array<long>, n long")
     several = again.groupBy("ids").agg(F.sum("n").alias("n"))
     every = found.filter("ranges = 1").select("ids", "n").unionByName(several)
     return keep(every.select(*[F.col("ids")[n].alias(f"i{n + 1}") for n in range(size)], "n"), "top-sets")

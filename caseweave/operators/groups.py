@@ -130,27 +130,22 @@ def item_support(rows: DataFrame) -> DataFrame:
     return rows.select("person_id", "item").distinct().groupBy("item").agg(F.count("*").alias("n"))
 
 
-def _floor(seeded: DataFrame, k: int) -> int:
+def kth_best(seeded: DataFrame, k: int) -> int:
     """The k-th best count, or 0 when there are fewer than k; one number."""
     best = seeded.select("n").orderBy(F.desc("n")).limit(k)
     return best.agg(F.when(F.count("*") == k, F.min("n")).otherwise(F.lit(0))).first()[0]
 
 
-def _leaders(support: DataFrame, size: int) -> DataFrame:
+def leaders(support: DataFrame, size: int) -> DataFrame:
     return support.orderBy(F.desc("n"), "item").limit(seeds(size)).select("item")
 
 
-def _reach(rows: DataFrame, support: DataFrame, floor: int) -> DataFrame:
+def reaching(rows: DataFrame, support: DataFrame, floor: int) -> DataFrame:
     if floor <= 1:  # every item has a patient
         return rows
     return rows.join(support.filter(F.col("n") >= floor).select("item"), "item", "left_semi")
 
 
-def seed_floor(rows: DataFrame, count: Callable[[DataFrame], DataFrame], size: int, k: int) -> int:
-    """A count that each of the k most frequent sets reaches: the k-th best among sets of the few most common items."""
-    return _floor(count(rows.join(_leaders(item_support(rows), size), "item", "left_semi")), k)
-
-
 def prune_items(rows: DataFrame, count: Callable[[DataFrame], DataFrame], size: int, k: int | None) -> DataFrame:
     """Rows whose item can still be part of one of the k most frequent sets; exact.
 
@@ -162,8 +157,8 @@ def prune_items(rows: DataFrame, count: Callable[[DataFrame], DataFrame], size:
     if k is None:
         return rows
     support = item_support(rows)
-    seeded = count(rows.join(_leaders(support, size), "item", "left_semi"))
-    return _reach(rows, support, _floor(seeded, k))
+    seeded = count(rows.join(leaders(support, size), "item", "left_semi"))
+    return reaching(rows, support, kth_best(seeded, k))
 
 
 def frequent_sets(baskets: DataFrame, size: int, k: int) -> DataFrame:
@@ -201,8 +196,8 @@ def frequent_sets(baskets: DataFrame, size: int, k: int) -> DataFrame:
         return count_sets(labelled(out, size), set_columns(size), unique=False).filter(F.col("n") >= floor)
 
     support = baskets.select("person_id", F.col("label").alias("item")).distinct().groupBy("item").agg(F.count("*").alias("n"))
-    leading = baskets.join(_leaders(support, size).withColumnRenamed("item", "label"), "label", "left_semi")
-    floor = _floor(all_sets(leading, size), k)
+    leading = baskets.join(leaders(support, size).withColumnRenamed("item", "label"), "label", "left_semi")
+    floor = kth_best(all_sets(leading, size), k)
     if floor > 1:
         return grown(floor)
     guess = keep(grown(2), "sets")

@@ -8,11 +8,12 @@ docstring says otherwise only valid standard concepts count.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from caseweave.functions.dates import OPEN_END, day_number, year_of
-from caseweave.operators import bitmaps, groups, intervals, ranking
+from caseweave.operators import bitmaps, groups, intervals, ranking, sweep
 from caseweave.operators.concepts import labels, valid_concepts
 from caseweave.operators.demographics import UNKNOWN
 from caseweave.operators.groups import count_sets, item_sets, prune_items, set_columns
@@ -58,20 +59,36 @@ def _top_together(tables: Tables, kind: str, size: int, what: str, k: int | None
     baskets = _baskets(tables, kind)
     if size == 2 or k is None:
         return ranking.top_sets(tables, _together(size)(baskets), _names(size, what), k)
-    return ranking.top_sets(tables, _frequent(keep(baskets, "baskets"), size, k), _names(size, what), k)
+    return ranking.top_sets(tables, _frequent(keep(baskets, "baskets"), size, k, bitmaps.TOGETHER), _names(size, what), k)
 
 
-def _frequent(baskets: DataFrame, size: int, k: int) -> DataFrame:
-    """Counts of sets that hold the k most frequent, above the k-th best count among sets of leading items."""
-    return bitmaps.top_sets(baskets, size, k, groups.seed_floor(baskets, _together(size), size, k))
+def _frequent(rows: DataFrame, size: int, k: int, how: str) -> DataFrame:
+    """Counts of sets of three or more that hold the k most frequent; ``rows`` should be a kept table.
+
+    The k-th best count among the sets of the few most common items is a floor; items below it are dropped
+    before anything is laid out.
+    """
+
+    def lists(rows: DataFrame) -> DataFrame:
+        parts = [] if how == bitmaps.OVERLAPPING else [bitmaps.baskets_of(rows)]
+        parts += [] if how == bitmaps.TOGETHER else [sweep.cliques(rows, size)]
+        return keep(reduce(DataFrame.unionByName, parts), "lists")
+
+    support = groups.item_support(rows)
+    leading = rows.join(groups.leaders(support, size), "item", "left_semi")
+    floor = groups.kth_best(bitmaps.top_sets(lists(leading), size, k, what=how), k)
+    return bitmaps.top_sets(lists(groups.reaching(rows, support, floor)), size, k, floor, how)
 
 
 def _names(size: int, what: str) -> dict[str, str]:
     return {f"i{n}": f"{what}{n}_name" for n in range(1, size + 1)}
 
 
-def _top_sets(tables: Tables, rows: DataFrame, count: Callable, size: int, what: str, k: int | None) -> DataFrame:
-    """The k sets with the most patients. Pairs are counted at once; for larger sets items are pruned first."""
+def _top_sets(tables: Tables, rows: DataFrame, count: Callable, size: int, what: str, k: int | None, how: str | None = None) -> DataFrame:
+    """The k sets with the most patients. Pairs are counted at once; larger sets by bitmaps where ``how`` says so,
+    or else after items are pruned."""
+    if size > 2 and k is not None and how is not None:
+        return ranking.top_sets(tables, _frequent(keep(rows, "events"), size, k, how), _names(size, what), k)
     if size > 2:
         rows = prune_items(keep(rows, "events"), count, size, k)
     return ranking.top_sets(tables, count(rows), _names(size, what), k)
@@ -95,7 +112,8 @@ def _overlapping(size: int) -> Callable[[DataFrame], DataFrame]:
     """Patients in whom all items of a set are under way on a common day."""
 
     def count(rows: DataFrame) -> DataFrame:
-        return count_sets(_overlapping_sets(rows, size), set_columns(size), unique=False)
+        sets = sweep.overlapping_pairs(rows) if size == 2 else _overlapping_sets(rows, size)
+        return count_sets(sets, set_columns(size), unique=False)
 
     return count
 
@@ -110,7 +128,7 @@ def _separate(size: int) -> Callable[[DataFrame], DataFrame]:
     def count(rows: DataFrame) -> DataFrame:
         columns = set_columns(size)
         have = item_sets(rows.select("person_id", "item").distinct(), ["person_id"], size)
-        meet = _overlapping_sets(rows, size).distinct()
+        meet = (sweep.overlapping_pairs(rows) if size == 2 else _overlapping_sets(rows, size)).distinct()
         signed = have.select(*columns, F.lit(1).alias("sign")).unionByName(meet.select(*columns, F.lit(-1).alias("sign")))
         return signed.groupBy(*columns).agg(F.sum("sign").alias("n")).filter("n > 0")
 
@@ -158,7 +176,7 @@ def drug_quads_chain_overlap(tables: Tables, k: int | None = 10) -> DataFrame:
 
 def drug_quads_overlapping(tables: Tables, k: int | None = 10) -> DataFrame:
     """Four drugs, every two of them overlapping; no limit in days."""
-    return _top_sets(tables, _timed(tables, "drug"), _overlapping(4), 4, "drug", k)
+    return _top_sets(tables, _timed(tables, "drug"), _overlapping(4), 4, "drug", k, bitmaps.OVERLAPPING)
 
 
 def drug_quads_overlapping_in_head(tables: Tables, k: int | None = 10, head: int | None = None) -> DataFrame:
@@ -166,7 +184,7 @@ def drug_quads_overlapping_in_head(tables: Tables, k: int | None = 10, head: int
     rows = _timed(tables, "drug")
     if head is not None:
         rows = rows.join(_head(_valid_events(tables, "drug"), head), "item", "left_semi")
-    return _top_sets(tables, rows, _overlapping(4), 4, "drug", k)
+    return _top_sets(tables, rows, _overlapping(4), 4, "drug", k, bitmaps.OVERLAPPING)
 
 
 def drug_quads_in_head(tables: Tables, k: int | None = 10, head: int | None = None) -> DataFrame:
@@ -183,7 +201,7 @@ def drug_quads_in_head(tables: Tables, k: int | None = 10, head: int | None = No
     named = taken.select("item", F.min("item").over(Window.partitionBy("concept_name")).alias("label"))
     baskets = keep(eras.select("person_id", "item").distinct().join(named, "item"), "baskets")
     if k is not None and not baskets.filter("item <> label").limit(1).count():  # every name is one concept
-        counts = _frequent(baskets.select("person_id", "item"), 4, k)
+        counts = _frequent(baskets.select("person_id", "item"), 4, k, bitmaps.TOGETHER)
     elif k is None:
         sets = item_sets(baskets, ["person_id"], 4).select("person_id", *[F.col(f"label{n}").alias(f"i{n}") for n in range(1, 5)])
         counts = count_sets(sets, set_columns(4), unique=False)
@@ -193,7 +211,7 @@ def drug_quads_in_head(tables: Tables, k: int | None = 10, head: int | None = No
 
 
 def drug_triples_within_30_days(tables: Tables, k: int | None = 10, days: int = 30) -> DataFrame:
-    return _top_sets(tables, _lasting(tables, "drug", days), _overlapping(3), 3, "drug", k)
+    return _top_sets(tables, _lasting(tables, "drug", days), _overlapping(3), 3, "drug", k, bitmaps.OVERLAPPING)
 
 
 def drug_triples_overlapping(tables: Tables, k: int | None = 10, in_order: bool = True) -> DataFrame:
@@ -238,7 +256,7 @@ def drug_triples_overlapping(tables: Tables, k: int | None = 10, in_order: bool
 
 def drug_triples_separate(tables: Tables, k: int | None = 10) -> DataFrame:
     """Three drugs by era, taken by one patient but never all at the same time."""
-    return _top_sets(tables, _timed(tables, "drug_era"), _separate(3), 3, "drug", k)
+    return _top_sets(tables, _timed(tables, "drug_era"), _separate(3), 3, "drug", k, bitmaps.SEPARATE)
 
 
 # --- combinations of conditions -------------------------------------------------------------------
@@ -258,7 +276,7 @@ def condition_pairs_separate(tables: Tables, k: int | None = 10) -> DataFrame:
 
 
 def condition_quads_within_1000_days(tables: Tables, k: int | None = 10, days: int = 1000) -> DataFrame:
-    return _top_sets(tables, _lasting(tables, "condition", days), _overlapping(4), 4, "condition", k)
+    return _top_sets(tables, _lasting(tables, "condition", days), _overlapping(4), 4, "condition", k, bitmaps.OVERLAPPING)
 
 
 def condition_quads(tables: Tables, k: int | None = 10) -> DataFrame:
@@ -266,11 +284,11 @@ def condition_quads(tables: Tables, k: int | None = 10) -> DataFrame:
 
 
 def condition_quads_separate(tables: Tables, k: int | None = 10) -> DataFrame:
-    return _top_sets(tables, _timed(tables, "condition_era"), _separate(4), 4, "condition", k)
+    return _top_sets(tables, _timed(tables, "condition_era"), _separate(4), 4, "condition", k, bitmaps.SEPARATE)
 
 
 def condition_triples_within_300_days(tables: Tables, k: int | None = 10, days: int = 300) -> DataFrame:
-    return _top_sets(tables, _lasting(tables, "condition", days), _overlapping(3), 3, "condition", k)
+    return _top_sets(tables, _lasting(tables, "condition", days), _overlapping(3), 3, "condition", k, bitmaps.OVERLAPPING)
 
 
 def condition_triples(tables: Tables, k: int | None = 10) -> DataFrame:
@@ -278,7 +296,7 @@ def condition_triples(tables: Tables, k: int | None = 10) -> DataFrame:
 
 
 def condition_triples_separate(tables: Tables, k: int | None = 10) -> DataFrame:
-    return _top_sets(tables, _timed(tables, "condition_era"), _separate(3), 3, "condition", k)
+    return _top_sets(tables, _timed(tables, "condition_era"), _separate(3), 3, "condition", k, bitmaps.SEPARATE)
 
 
 # --- one event after another -----------------------------------------------------------------------

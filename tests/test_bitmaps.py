@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from caseweave.operators import bitmaps
+from caseweave.operators import bitmaps, sweep
 
 
 def baskets(seed, people, items, most):
@@ -29,13 +29,17 @@ def top(df, size, k):
     return sorted((-r["n"], tuple(r[f"i{j}"] for j in range(1, size + 1))) for r in df.collect())[:k]
 
 
+def together(df, size, k, **more):
+    return top(bitmaps.top_sets(bitmaps.baskets_of(df), size, k, **more), size, k)
+
+
 @pytest.mark.parametrize("size", [3, 4])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_top_sets(spark, seed, size):
     rows = baskets(seed, 60, 12, 9)
     df = spark.createDataFrame(rows, "person_id long, item long")
     for k in (1, 10):
-        assert top(bitmaps.top_sets(df, size, k), size, k) == best(brute(rows, size), k)
+        assert together(df, size, k) == best(brute(rows, size), k)
 
 
 @pytest.mark.parametrize("most", [7, 20])
@@ -44,18 +48,70 @@ def test_items_of_many_patients_have_several_ranges(spark, most):
     df = spark.createDataFrame(rows, "person_id long, item long")
     counts = brute(rows, 3)
     floor = -best(counts, 10)[-1][0] - 1
-    assert top(bitmaps.top_sets(df, 3, 10, floor=floor, most=most), 3, 10) == best(counts, 10)
-    assert top(bitmaps.top_sets(df, 3, 10, most=most), 3, 10) == best(counts, 10)
+    assert together(df, 3, 10, floor=floor, most=most) == best(counts, 10)
+    assert together(df, 3, 10, most=most) == best(counts, 10)
 
 
 def test_few_or_no_sets(spark):
     df = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1)], "person_id long, item long")
-    assert top(bitmaps.top_sets(df, 3, 10), 3, 10) == [(-1, (1, 2, 3))]
-    assert bitmaps.top_sets(df, 4, 10).count() == 0
-    assert bitmaps.top_sets(df.limit(0), 3, 10).count() == 0
+    assert together(df, 3, 10) == [(-1, (1, 2, 3))]
+    assert together(df, 4, 10) == together(df.limit(0), 3, 10) == []
 
 
 def test_ties_go_to_lower_ids(spark):
     rows = [(p, i) for p in range(4) for i in range(p * 5, p * 5 + 5)]
     df = spark.createDataFrame(rows, "person_id long, item long")
-    assert top(bitmaps.top_sets(df, 3, 5), 3, 5) == [(-1, s) for s in itertools.islice(itertools.combinations(range(5), 3), 5)]
+    assert together(df, 3, 5) == [(-1, s) for s in itertools.islice(itertools.combinations(range(5), 3), 5)]
+
+
+def events(seed, people=30, items=8, most=14):
+    rng = random.Random(seed)
+    return [(p, rng.randint(1, items), first, first + rng.randint(-1, 12)) for p in range(people) for first in (rng.randint(-5, 60) for _ in range(rng.randint(0, most)))]
+
+
+def meetings(rows, size):
+    """(person, ids) of the sets of different items that are under way on one day."""
+    found = set()
+    for person in {r[0] for r in rows}:
+        for day in range(-5, 80):
+            active = sorted({i for p, i, first, last in rows if p == person and first <= day <= last})
+            found |= {(person, s) for s in itertools.combinations(active, size)}
+    return found
+
+
+@pytest.mark.parametrize("cell_days", [7, 1024])
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_sweep_finds_all_that_overlaps(spark, seed, cell_days):
+    rows = events(seed)
+    df = spark.createDataFrame(rows, "person_id long, item long, first int, last int").repartition(3)
+    pairs = {(r[0], (r[1], r[2])) for r in sweep.overlapping_pairs(df, cell_days).collect()}
+    assert pairs == meetings(rows, 2)
+    cliques = sweep.cliques(df, 3, cell_days).collect()
+    assert all(list(r["items"]) == sorted(set(r["items"])) for r in cliques)
+    assert {(r.person_id, s) for r in cliques for s in itertools.combinations(r["items"], 3)} == meetings(rows, 3)
+
+
+@pytest.mark.parametrize("size", [3, 4])
+@pytest.mark.parametrize("most", [9, 1 << 16])
+def test_overlapping_and_separate_sets(spark, size, most):
+    rows = events(5, people=40, items=6)
+    df = spark.createDataFrame(rows, "person_id long, item long, first int, last int")
+    lists, meet = sweep.cliques(df, size, 16), meetings(rows, size)
+    overlapping = Counter(ids for _, ids in meet)
+    assert top(bitmaps.top_sets(lists, size, 8, what=bitmaps.OVERLAPPING, most=most), size, 8) == best(overlapping, 8)
+    have = brute([(p, i) for p, i, *_ in rows], size)
+    separate = Counter({ids: n - overlapping[ids] for ids, n in have.items() if n > overlapping[ids]})
+    both = bitmaps.baskets_of(df).unionByName(lists)
+    assert top(bitmaps.top_sets(both, size, 8, what=bitmaps.SEPARATE, most=most), size, 8) == best(separate, 8)
+
+
+def test_a_long_stretch_over_several_batches(spark):
+    rows = [(1, i, i // 7, i // 7 + 2) for i in range(400)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        df = spark.createDataFrame(rows, "person_id long, item long, first int, last int").repartition(3)
+        pairs = {(r[1], r[2]) for r in sweep.overlapping_pairs(df, 40).collect()}
+        sets = {s for r in sweep.cliques(df, 3, 40).collect() for s in itertools.combinations(r["items"], 2)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert pairs == sets == {(a, b) for a in range(400) for b in range(a + 1, 400) if b // 7 <= a // 7 + 2}
