@@ -53,10 +53,19 @@ def most_common_value(counts: DataFrame, break_ties: bool) -> DataFrame:
     )
 
 
-def head_per_group(df: DataFrame, group: str, order: Sequence[Column | str], rows: int) -> DataFrame:
-    """The first rows of every group. Spark limits each task's groups before it shuffles them."""
-    return (
-        df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-        .filter(F.col("place") <= rows)
-        .drop("place")
-    )
+HEAD_PARTS = 64
+
+
+def head_per_group(df: DataFrame, group: str, order: Sequence[Column | str], rows: int, parts: int = HEAD_PARTS) -> DataFrame:
+    """The first rows of every group, by merging the heads of its parts.
+
+    Rows of a group are dealt to ``parts`` parts; each gives its first rows, which its tasks limit before
+    they shuffle; a group is then put in order from ``parts`` times ``rows`` rows, however large it is.
+    """
+
+    def first(df: DataFrame, keys: list[str]) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumn("place", place).filter(F.col("place") <= rows).drop("place")
+
+    part = F.pmod(F.xxhash64(*[c for c in df.columns if c != group]), F.lit(parts))
+    return first(first(df.withColumn("part", part), [group, "part"]).drop("part"), [group])

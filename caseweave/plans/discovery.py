@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from caseweave.functions.dates import OPEN_END, day_number, year_of
-from caseweave.operators import bitmaps, groups, intervals, ranking, sweep
+from caseweave.operators import bitmaps, groups, heads, intervals, ranking, sweep
 from caseweave.operators.concepts import labels, valid_concepts
 from caseweave.operators.demographics import UNKNOWN
 from caseweave.operators.groups import count_sets, item_sets, prune_items, set_columns
@@ -135,11 +135,6 @@ def _separate(size: int) -> Callable[[DataFrame], DataFrame]:
     return count
 
 
-def _head(rows: DataFrame, size: int) -> DataFrame:
-    """The ``size`` items with the most patients, ties by id."""
-    return groups.item_support(rows).orderBy(F.desc("n"), "item").limit(size).select("item")
-
-
 # --- combinations of drugs ----------------------------------------------------------------------
 
 
@@ -183,7 +178,7 @@ def drug_quads_overlapping_in_head(tables: Tables, k: int | None = 10, head: int
     """The same, on demand among the ``head`` most common drugs only; all drugs when it is None."""
     rows = _timed(tables, "drug")
     if head is not None:
-        rows = rows.join(_head(_valid_events(tables, "drug"), head), "item", "left_semi")
+        rows = rows.join(heads.most_common(_valid_events(tables, "drug"), head), "item", "left_semi")
     return _top_sets(tables, rows, _overlapping(4), 4, "drug", k, bitmaps.OVERLAPPING)
 
 
@@ -195,7 +190,7 @@ def drug_quads_in_head(tables: Tables, k: int | None = 10, head: int | None = No
     eras = events(tables, "drug_era")
     known = tables.concept.filter("domain_id = 'Drug' AND standard_concept = 'S'").withColumnRenamed("concept_id", "item").select("item", "concept_name")
     if head is not None:
-        known = known.join(_head(eras, head), "item", "left_semi")
+        known = known.join(heads.most_common(eras, head), "item", "left_semi")
     # Concepts of one name share an id, so that the shuffle carries numbers and not names.
     taken = known.join(eras.select("item").distinct(), "item", "left_semi")
     named = taken.select("item", F.min("item").over(Window.partitionBy("concept_name")).alias("label"))
@@ -214,6 +209,28 @@ def drug_triples_within_30_days(tables: Tables, k: int | None = 10, days: int =
     return _top_sets(tables, _lasting(tables, "drug", days), _overlapping(3), 3, "drug", k, bitmaps.OVERLAPPING)
 
 
+FIRST_PATIENTS, MORE_PATIENTS = 64, 8  # patients of the first slice, and how many times more each next one has
+
+
+def _slice_with_triples(tables: Tables, rows: DataFrame, k: int) -> DataFrame:
+    """Rows of the first patients by id, so many that k of them have three drugs under way on one day; all if fewer do.
+
+    Slices of patients grow until one suffices: a slice is a range of ids, which the scan can use to
+    skip what lies beyond it. A patient with a triple gives at least one row of the result.
+    """
+    patients, many = tables.person.select("person_id"), FIRST_PATIENTS
+    while True:
+        last = patients.orderBy("person_id").limit(many).agg(F.max("person_id"), F.count("*")).first()
+        if last[1] < many:  # nobody is left, but for those whom the patient table does not know
+            return rows
+        some = keep(rows.filter(F.col("person_id") <= last[0]), "slice")
+        ends = F.least("last", some.agg(F.max("first")).scalar())  # no later day is looked at
+        able = keep(sweep.cliques(some.withColumn("last", ends), 3).select("person_id").distinct().orderBy("person_id").limit(k), "able")
+        if able.count() == k:
+            return some.join(able, "person_id", "left_semi")
+        many *= MORE_PATIENTS
+
+
 def drug_triples_overlapping(tables: Tables, k: int | None = 10, in_order: bool = True) -> DataFrame:
     """Single occurrences of three drugs with a common period; a missing end date leaves it open.
 
@@ -225,13 +242,9 @@ def drug_triples_overlapping(tables: Tables, k: int | None = 10, in_order: bool
         "person_id", "item", day_number(start).alias("first"),
         day_number(F.coalesce("end", F.lit(OPEN_END).cast("date"))).alias("last"),
     )
-    rows = keep(rows.distinct(), "events")
     if k is not None:
-        # A patient has a triple if three drugs are under way on some start day; k such patients have k rows.
-        busy = intervals.active_on_start_days(rows, ["person_id"], open_ended=True).groupBy("person_id", "day")
-        able = busy.agg(F.count_distinct("item").alias("items")).filter("items >= 3").select("person_id").distinct()
-        able = able.orderBy("person_id").limit(k) if in_order else able.limit(k)
-        rows = keep(rows.join(able, "person_id", "left_semi"), "events")
+        rows = _slice_with_triples(tables, rows, k)
+    rows = rows.distinct()
     active = intervals.active_on_start_days(rows, ["person_id"], open_ended=True).select(
         "person_id", "day", "item", "last", (F.col("first") == F.col("day")).cast("int").alias("fresh")
     )

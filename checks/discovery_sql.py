@@ -141,6 +141,43 @@ def _yearly(table: str, name: str) -> str:
     )
 
 
+def _yearly_head(table: str, name: str, head: int) -> str:
+    more = (
+        f"counts AS (SELECT EXTRACT(YEAR FROM s) AS year, i, COUNT(DISTINCT p) AS n FROM {table} GROUP BY 1, 2), "
+        f"best AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY year ORDER BY n DESC, i) AS r FROM counts) q WHERE r <= {head})"
+    )
+    return with_star(
+        f"SELECT c.concept_name AS {name}, CAST(year AS BIGINT) AS year, CAST(n AS BIGINT) AS patient_count FROM best JOIN concept c ON c.concept_id = best.i", more
+    )
+
+
+def _quads_in_head(head: int) -> str:
+    more = (
+        f"top AS (SELECT i FROM (SELECT i, COUNT(DISTINCT p) AS n FROM drug GROUP BY 1) q ORDER BY n DESC, i LIMIT {head}), "
+        "few AS (SELECT * FROM drug WHERE i IN (SELECT i FROM top))"
+    )
+    counts = _distinct_persons("few", 4, _overlap, "WHERE GREATEST(e1.s, e2.s, e3.s, e4.s) <= LEAST(e1.f, e2.f, e3.f, e4.f)")
+    return _top(counts, _names(4, "drug"), more=more)
+
+
+def _era_quads_in_head(head: int) -> str:
+    more = (
+        f"top AS (SELECT i FROM (SELECT drug_concept_id AS i, COUNT(DISTINCT person_id) AS n FROM drug_era GROUP BY 1) q ORDER BY n DESC, i LIMIT {head}), "
+        "basket AS (SELECT DISTINCT person_id AS p, drug_concept_id AS i FROM drug_era JOIN concept ON concept_id = drug_concept_id "
+        "WHERE domain_id = 'Drug' AND standard_concept = 'S' AND drug_concept_id IN (SELECT i FROM top))"
+    )
+    return _top(f"SELECT {_items(4)}, COUNT(*) AS n {_join('basket', 4)} GROUP BY {_items(4, False)}", _names(4, "drug"), more=more)
+
+
+#: The heads of the queries that have one.
+HEAD_SQL = {
+    "Q0005_drug_quads_overlapping_in_top_50": lambda: _quads_in_head(50),
+    "Q0006_drug_quads_in_top_500": lambda: _era_quads_in_head(500),
+    "Q0028_top_20_drugs_of_each_year": lambda: _yearly_head("drug", "drug_name", 20),
+    "Q0039_top_20_conditions_of_each_year": lambda: _yearly_head("cond", "condition_name", 20),
+}
+
+
 def discovery_sql() -> dict[str, str]:
     out = {}
     out["Q0001"] = _top(_distinct_persons("drug", 2, _near(30)), _names(2, "drug"))

@@ -18,7 +18,7 @@ def test_scans_read_only_what_is_needed(star):
 
 
 def test_yearly_head_is_limited_before_the_shuffle(star):
-    text = plan(discovery.drugs_of_each_year(star))
+    text = plan(discovery.drugs_of_each_year(star, head=20))
     assert "WindowGroupLimit" in text and "Partial" in text
 
 
