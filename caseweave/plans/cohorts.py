@@ -11,7 +11,7 @@ and all instances of a cohort are evaluated by one Spark job.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from caseweave.functions.dates import day_number, year_of
 from caseweave.operators import persons
 from caseweave.operators.concepts import labels, resolve_concepts, trait_concepts, trait_concepts_with_synonyms
-from caseweave.operators.demographics import count_all, count_by
+from caseweave.operators.demographics import UNKNOWN, count_all, count_by, count_by_each
 from caseweave.schema import Tables
 from caseweave.sources.readers import events
 
@@ -312,3 +312,15 @@ def report(tables: Tables, cohort: Cohort) -> DataFrame:
     if cohort.test != "report":
         raise ValueError(f"cohort {cohort.id} needs instances")
     return count_by(tables, cohort.dims, cohort.unknown) if cohort.dims else count_all(tables)
+
+
+def reports(tables: Tables, wanted: Iterable[str] | None = None) -> DataFrame:
+    """All reports with columns from one pass over the patients, as ``count_by_each`` gives them; ``shown`` picks one."""
+    chosen = [COHORTS[c] for c in (wanted or COHORTS)]
+    return count_by_each(tables, {c.id: c.dims for c in chosen if c.test == "report" and c.dims})
+
+
+def shown(all_reports: DataFrame, cohort: Cohort) -> DataFrame:
+    """One report as ``report`` gives it, out of all."""
+    columns = [F.coalesce(d, F.lit(UNKNOWN)).alias(d) if cohort.unknown and d != "year_of_birth" else F.col(d) for d in cohort.dims]
+    return all_reports.filter(F.col("report") == cohort.id).select(*columns, "number_of_patients")

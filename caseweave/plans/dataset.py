@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caseweave.operators.concepts import first_code
 from caseweave.plans import discovery
-from caseweave.plans.cohorts import COHORTS, Cohort, evaluate, report
+from caseweave.plans.cohorts import COHORTS, Cohort, evaluate, report, reports, shown
 from caseweave.plans.sqltext import criterion_sql, report_sql
 from caseweave.schema import Tables
 from caseweave.storage import keep
@@ -148,59 +148,84 @@ def _cells(df: DataFrame, columns: list[str]) -> Column:
     return F.array(*[F.col(c).cast("string") for c in columns])
 
 
-def answers(tables: Tables, cohort: Cohort, instances: DataFrame, days: int | None = None) -> DataFrame:
-    """(instance_id, execution_result): rows of cells, as a database client would return them."""
+def answer_rows(tables: Tables, cohort: Cohort, instances: DataFrame, days: int | None = None) -> DataFrame:
+    """(instance_id, row): every row of every result, as cells."""
     result = evaluate(tables, cohort, instances, days)
     columns = [c for c in result.columns if c != "instance_id"]
-    rows = result.select("instance_id", _cells(result, columns).alias("row"))
-    grouped = rows.groupBy("instance_id").agg(F.array_sort(F.collect_list("row")).alias("execution_result"))
+    return result.select("instance_id", _cells(result, columns).alias("row"))
+
+
+def collected(items: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The items with their result rows in one array, ``execution_result``, as the written format has it."""
+    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list("row")).alias("execution_result"))
     empty = F.array().cast("array<array<string>>")
-    return instances.select("instance_id").join(grouped, "instance_id", "left").select(
-        "instance_id", F.coalesce("execution_result", empty).alias("execution_result")
-    )
+    return items.join(grouped, key, "left").withColumn("execution_result", F.coalesce("execution_result", empty))
 
 
-def items(tables: Tables, cohort: Cohort, k: int = 10, days: int | None = None) -> DataFrame:
-    """Dataset items of one cohort: (place, input, expected_output, execution_result)."""
-    if cohort.test == "report":
-        table = report(tables, cohort)
-        rows = table.select(_cells(table, table.columns).alias("row"))
-        whole = rows.agg(F.array_sort(F.collect_list("row")).alias("execution_result"))
-        return whole.select(
-            F.lit(1).cast("long").alias("place"), F.lit(cohort.question).alias("input"),
-            F.lit(report_sql(cohort)).alias("expected_output"), "execution_result",
-        )
-    source = SOURCES[cohort.id]
-    more = {}
+def found_instances(tables: Tables, cohort: Cohort, k: int | None = 10, days: int | None = None) -> tuple[Cohort, DataFrame]:
+    """The cohort, speaking of the given days, and its discovered instances in a table."""
+    source, more = SOURCES[cohort.id], {}
     if days is not None and days != cohort.days:
         # the rows, the question, the SQL text and the answer all speak of the same days
         more = {"days": days} if "days" in inspect.signature(source.find).parameters else {}
         cohort = replace(cohort, days=days, question=re.sub(rf"\b{cohort.days} days\b", f"{days} days", cohort.question))
     found = source.find(tables, k, **more)
-    instances = keep(bind(tables, cohort, found if source.names or k is None else found.limit(k), source), "instances")
-    sql = criterion_sql(cohort, cohort.days)
-    return instances.join(answers(tables, cohort, instances, days), "instance_id").select(
-        F.col("instance_id").alias("place"), "input", sql.alias("expected_output"), "execution_result"
-    )
+    return cohort, keep(bind(tables, cohort, found if source.names or k is None else found.limit(k), source), "instances")
+
 
+def items(tables: Tables, cohort: Cohort, k: int | None = 10, days: int | None = None) -> DataFrame:
+    """Dataset items of one cohort: (place, input, expected_output, execution_result)."""
+    made, rows = parts(tables, cohort, k, days)
+    return collected(made, rows, "place")
 
-def dataset(tables: Tables, cohorts: Iterable[str] | None = None, k: int = 10) -> DataFrame:
-    """Items of many cohorts with ids 1, 2, 3 ... in the order of the cohorts, then of their rows.
 
-    Cohorts do not depend on each other and are made side by side. Items are numbered within their
-    cohort; of each cohort only its count is needed to number the next, so no task holds all items.
+def parts(tables: Tables, cohort: Cohort, k: int | None = 10, days: int | None = None, all_reports: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Items of one cohort without their results (place, input, expected_output), and the result rows (place, row)."""
+    if cohort.test == "report":
+        table = shown(all_reports, cohort) if all_reports is not None and cohort.dims else report(tables, cohort)
+        rows = table.select(F.lit(1).cast("long").alias("place"), _cells(table, table.columns).alias("row"))
+        one = table.sparkSession.range(1)
+        return one.select(F.lit(1).cast("long").alias("place"), F.lit(cohort.question).alias("input"), F.lit(report_sql(cohort)).alias("expected_output")), rows
+    cohort, instances = found_instances(tables, cohort, k, days)
+    made = instances.select(F.col("instance_id").alias("place"), "input", criterion_sql(cohort, cohort.days).alias("expected_output"))
+    return made, answer_rows(tables, cohort, instances, days).withColumnRenamed("instance_id", "place")
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
+    """Running numbers 1, 2, 3 ... in an order, by sums over the counts of sorted partitions.
+
+    Rows are ranged over partitions and written with their partition and their place in it; only a count
+    per partition is summed in sequence.
     """
-    wanted = [COHORTS[c] for c in (cohorts or COHORTS)]
+    at = F.monotonically_increasing_id()
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = keep(placed.withColumns({"_part": F.shiftright(at, 33), "_at": at.bitwiseAND((1 << 33) - 1)}), "placed")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    counts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(counts, "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
 
-    def made(n: int) -> tuple[DataFrame, int]:
-        part = keep(items(tables, wanted[n], k), "items")
-        return part, part.count()
-
-    with ThreadPoolExecutor(4) as pool:
-        parts = list(pool.map(made, range(len(wanted))))
-    before, numbered = 0, []
-    for part, n in parts:
-        number = F.row_number().over(Window.partitionBy(F.lit(before)).orderBy("place")).cast("long") + before
-        numbered.append(part.select(number.alias("id"), "input", "expected_output", "execution_result"))
-        before += n
-    return reduce(DataFrame.unionByName, numbered)
+
+def dataset_parts(tables: Tables, cohorts: Iterable[str] | None = None, k: int | None = 10) -> tuple[DataFrame, DataFrame]:
+    """The items of many cohorts (id, cohort, input, expected_output) and their result rows (id, row).
+
+    Ids are 1, 2, 3 ... in the order of the cohorts, then of their rows. Discovery makes its tables cohort
+    by cohort, several at a time; reports come from one pass over the patients. Items and result rows of
+    all cohorts are then one plan each; a result has as many rows as it has, and none is put in an array.
+    """
+    wanted = [COHORTS[c] for c in (cohorts or COHORTS)]
+    with_dims = [c.id for c in wanted if c.test == "report" and c.dims]
+    all_reports = keep(reports(tables, with_dims), "reports") if with_dims else None
+    with ThreadPoolExecutor(8) as pool:
+        made = list(pool.map(lambda c: parts(tables, c, k, all_reports=all_reports), wanted))
+    tagged = lambda n, df: df.withColumn("turn", F.lit(n))
+    every = reduce(DataFrame.unionByName, [tagged(n, one.withColumn("cohort", F.lit(c.id))) for n, (c, (one, _)) in enumerate(zip(wanted, made, strict=True))])
+    rows = reduce(DataFrame.unionByName, [tagged(n, result) for n, (_, result) in enumerate(made)])
+    ids = numbered(every, ["turn", "place"])
+    return ids.select("id", "cohort", "input", "expected_output"), rows.join(ids.select("id", "turn", "place"), ["turn", "place"]).select("id", "row")
+
+
+def dataset(tables: Tables, cohorts: Iterable[str] | None = None, k: int | None = 10) -> DataFrame:
+    """Items of many cohorts as they are written: (id, input, expected_output, execution_result)."""
+    made, rows = dataset_parts(tables, cohorts, k)
+    return collected(made.drop("cohort"), rows, "id").select("id", "input", "expected_output", "execution_result")

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from caseweave.functions import dates
 from caseweave.operators import concepts
 from caseweave.plans import dataset, grading
-from caseweave.plans.cohorts import COHORTS, slot_rows
+from caseweave.plans.cohorts import COHORTS, reports, slot_rows
 from caseweave.sources.writers import plain_answer
-from checks.cohort_sql import _criterion
+from checks.cohort_sql import _LABELS, _criterion, cohort_sql
 from checks.discovery_sql import discovery_sql, with_star
 from checks.instances import _SETS, _slots_of_chains, chains
 from checks.starviews import star_tables
@@ -120,14 +120,14 @@ RANGES = with_star(
 
 # --- dataset --------------------------------------------------------------------------------------
 
-# Cohorts whose dataset items are registered; all 56 are built by the same code.
-DATASETS = ["F0003", "F0004", "F0005", "F0007", "F0009", "F0012", "F0013", "F0014", "F0018", "F0019", "F0022", "F0023", "F0024", "F0025", "F0026", "F0027", "F0028",
-            "F0029", "F0030", "F0031", "F0032", "F0033", "F0034", "F0052", "F0053", "F0055", "F0056"]
-_FOUND_BY = {"F0003": "Q0001", "F0004": "Q0002", "F0005": "Q0002", "F0007": "Q0005", "F0009": "Q0007", "F0012": "Q0010",
-             "F0013": "Q0011", "F0014": "Q0012", "F0018": "Q0016", "F0019": "Q0017", "F0022": "Q0019",
-             "F0023": "Q0020", "F0024": "Q0021", "F0025": "Q0022", "F0026": "Q0023", "F0027": "Q0024", "F0028": "Q0025",
-             "F0029": "Q0026", "F0030": "Q0027", "F0031": "Q0028", "F0032": "Q0029", "F0033": "Q0030", "F0034": "Q0031",
-             "F0052": "Q0036", "F0053": "Q0037", "F0055": "Q0039", "F0056": "Q0040"}
+# The discovery that each cohort's items come from; cohorts without one are reports.
+_FOUND_BY = {"F0003": "Q0001", "F0004": "Q0002", "F0005": "Q0002", "F0006": "Q0004", "F0007": "Q0005", "F0008": "Q0006", "F0009": "Q0007",
+             "F0010": "Q0008", "F0011": "Q0009", "F0012": "Q0010", "F0013": "Q0011", "F0014": "Q0012", "F0015": "Q0013", "F0016": "Q0014",
+             "F0017": "Q0015", "F0018": "Q0016", "F0019": "Q0017", "F0020": "Q0018", "F0022": "Q0019", "F0023": "Q0020", "F0024": "Q0021",
+             "F0025": "Q0022", "F0026": "Q0023", "F0027": "Q0024", "F0028": "Q0025", "F0029": "Q0026", "F0030": "Q0027", "F0031": "Q0028",
+             "F0032": "Q0029", "F0033": "Q0030", "F0034": "Q0031", "F0035": "Q0032", "F0049": "Q0033", "F0050": "Q0034", "F0051": "Q0035",
+             "F0052": "Q0036", "F0053": "Q0037", "F0054": "Q0038", "F0055": "Q0039", "F0056": "Q0040"}
+DATASETS = list(_FOUND_BY)
 
 
 def _dataset_query(cohort_id: str):
@@ -139,7 +139,8 @@ def _dataset_query(cohort_id: str):
     return run
 
 
-def _dataset_sql(cohort_id: str) -> str:
+def _dataset_sql(cohort_id: str, by_row: bool = False) -> str:
+    """Items of a cohort with the answer in one cell, or with a row for each row of the result."""
     cohort, source = COHORTS[cohort_id], dataset.SOURCES[cohort_id]
     order = ", ".join(f"{c[1:]} DESC" if c.startswith("-") else c for c in source.order)
     text = "'" + cohort.question.replace("'", "''") + "'"
@@ -147,16 +148,16 @@ def _dataset_sql(cohort_id: str) -> str:
         text = f"replace({text}, '{{{n}}}', CAST({column} AS VARCHAR))"
     value = source.value or "NULL"
     slots = " UNION ALL ".join(
-        f"SELECT place AS instance_id, {n} AS slot, codes.vocabulary_id AS v, codes.concept_code AS c FROM numbered "
+        f"SELECT CAST(place AS BIGINT) AS instance_id, {n} AS slot, codes.vocabulary_id AS v, codes.concept_code AS c FROM numbered "
         f"JOIN codes ON codes.lowered = lower({name})"
         for n, name in enumerate(source.names)
-    )
+    ) or "SELECT CAST(NULL AS BIGINT) AS instance_id, 0 AS slot, '' AS v, '' AS c WHERE FALSE"
     given = (
         f"{FIRST_CODE}, rows_found AS ({discovery_sql()[_FOUND_BY[cohort_id]]}), "
         f"numbered AS (SELECT *, ROW_NUMBER() OVER (ORDER BY {order}) AS place FROM rows_found), slots AS ({slots}), "
         f"inst AS (SELECT place AS instance_id, {value} AS value FROM numbered)"
     )
-    counted = _criterion(cohort, given)
+    counted = _valued_population(cohort, given) if cohort.test == "trait" else _criterion(cohort, given)
     if cohort.test == "by_year":
         # The rows of a report, in text order, as JSON.
         cells = "'[' || year || ',' || number_of_patients || ']'"
@@ -167,12 +168,71 @@ def _dataset_sql(cohort_id: str) -> str:
     else:
         answer = "CAST(MAX(number_of_patients) AS VARCHAR)"
     numbered = with_star(f"SELECT place, {text} AS input FROM numbered", given)
+    if by_row:
+        cells = "year || '|' || number_of_patients" if cohort.test == "by_year" else "CAST(number_of_patients AS VARCHAR)"
+        return f"SELECT CAST(n.place AS BIGINT) AS place, n.input, COALESCE({cells}, '') AS result FROM ({numbered}) n LEFT JOIN ({counted}) c ON c.instance_id = n.place"
     return (
         f"SELECT CAST(n.place AS BIGINT) AS place, n.input, {answer} AS answer FROM ({numbered}) n "
         f"LEFT JOIN ({counted}) c ON c.instance_id = n.place GROUP BY 1, 2"  # an item without rows stays
     )
 
 
+def _valued_population(cohort, given: str) -> str:
+    """Patients of the discovered values of a demographic."""
+    if cohort.trait == "birth":
+        test = "LEFT JOIN person ON year_of_birth = inst.value"
+    elif cohort.trait == "location":
+        test = "LEFT JOIN (location l JOIN person ON person.location_id = l.location_id) ON l.state = inst.value"
+    else:
+        domain = cohort.trait.capitalize()
+        test = (
+            f"LEFT JOIN concept k ON k.concept_name = inst.value AND k.domain_id = '{domain}' AND k.standard_concept = 'S' "
+            f"LEFT JOIN person ON {cohort.trait}_concept_id = k.concept_id"
+        )
+    return with_star(f"SELECT CAST(inst.instance_id AS BIGINT) AS instance_id, COUNT(DISTINCT person_id) AS number_of_patients FROM inst {test} GROUP BY 1", given)
+
+
+_DIMS = ("gender", "race", "ethnicity", "state", "year_of_birth")
+
+
+def reports_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every report from one pass over the patients, a row per line of a report."""
+    return reports(star_tables(spark, sf_dir)).withColumn("year_of_birth", F.col("year_of_birth").cast("long"))
+
+
+def _reports_sql() -> str:
+    parts = []
+    for cohort in COHORTS.values():
+        if cohort.test == "report" and cohort.dims:
+            shown = ", ".join(
+                f"{_LABELS[d][0]} AS {d}" if d in cohort.dims else f"CAST(NULL AS {'BIGINT' if d == 'year_of_birth' else 'VARCHAR'}) AS {d}" for d in _DIMS
+            )
+            joins, groups = (" ".join(_LABELS[d][1] for d in cohort.dims), ", ".join(_LABELS[d][0] for d in cohort.dims))
+            parts.append(f"SELECT '{cohort.id}' AS report, {shown}, COUNT(DISTINCT person_id) AS number_of_patients FROM person {joins} GROUP BY {groups}")
+    return with_star(" UNION ALL ".join(parts))
+
+
+def whole_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All items of all cohorts with their ids, a row per row of a result."""
+    made, rows = dataset.dataset_parts(star_tables(spark, sf_dir))
+    return made.join(rows, "id", "left").select("id", "cohort", "input", F.concat_ws("|", F.transform("row", lambda c: F.coalesce(c, F.lit("-")))).alias("result"))
+
+
+def _whole_dataset_sql() -> str:
+    """The items of every cohort by its own SQL, numbered in the order of cohorts and places."""
+    parts = []
+    for turn, cohort in enumerate(COHORTS.values()):
+        if cohort.test == "report":
+            columns = [*cohort.dims, "number_of_patients"]
+            cells = ", ".join(f"COALESCE(CAST({c} AS VARCHAR), '-')" for c in columns)
+            question = cohort.question.replace("'", "''")
+            parts.append(f"SELECT {turn} AS turn, 1 AS place, '{cohort.id}' AS cohort, '{question}' AS input, concat_ws('|', {cells}) AS result FROM ({cohort_sql()[cohort.id]}) r{turn}")
+        else:
+            parts.append(f"SELECT {turn} AS turn, place, '{cohort.id}' AS cohort, input, result FROM ({_dataset_sql(cohort.id, by_row=True)}) r{turn}")
+    every = " UNION ALL ".join(parts)
+    return f"SELECT CAST(DENSE_RANK() OVER (ORDER BY turn, place) AS BIGINT) AS id, cohort, input, result FROM ({every}) q"
+
+
 # --- grading ---------------------------------------------------------------------------------------
 
 
@@ -343,6 +403,7 @@ def queries() -> dict:
         "R1_ranges_in_first_half": ranges_in_first_half,
     }
     out |= {f"G_dataset_{key}": _dataset_query(key) for key in DATASETS}
+    out |= {"F_reports_together": reports_together, "G_dataset_all": whole_dataset}
     out |= {
         "E4_grade_documents": grade_documents,
         "E4_grade_orders": grade_orders,
@@ -364,6 +425,7 @@ def oracle_sql() -> dict[str, str]:
         "R1_ranges_in_first_half": RANGES,
     }
     out |= {f"G_dataset_{key}": _dataset_sql(key) for key in DATASETS}
+    out |= {"F_reports_together": _reports_sql(), "G_dataset_all": _whole_dataset_sql()}
     out |= {
         "E4_grade_documents": f"WITH {_DOCUMENTS}, {_VERDICTS} SELECT id, correct, confidence, extracted_value FROM verdicts",
         "E4_grade_orders": f"WITH {_ORDERS}, {_VERDICTS} SELECT * FROM verdicts",
