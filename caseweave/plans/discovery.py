@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from caseweave.functions.dates import OPEN_END, day_number, year_of
-from caseweave.operators import bitmaps, groups, heads, intervals, ranking, sweep
+from caseweave.operators import bitmaps, chains, groups, heads, intervals, ranking, sweep
 from caseweave.operators.concepts import labels, valid_concepts
 from caseweave.operators.demographics import UNKNOWN
 from caseweave.operators.groups import count_sets, item_sets, prune_items, set_columns
@@ -166,7 +166,10 @@ def drug_quads_chain_overlap(tables: Tables, k: int | None = 10) -> DataFrame:
             )
         return count_sets(out, set_columns(4), unique=False)
 
-    return _top_sets(tables, _timed(tables, "drug"), count, 4, "drug", k)
+    rows = _timed(tables, "drug")
+    if k is None:
+        return ranking.top_sets(tables, count(rows), _names(4, "drug"), k)
+    return ranking.top_sets(tables, chains.top_chains(rows, width, k), _names(4, "drug"), k)
 
 
 def drug_quads_overlapping(tables: Tables, k: int | None = 10) -> DataFrame:
