@@ -6,9 +6,11 @@ only. Two things keep that affordable:
 * ``prune_items`` drops, exactly, every item that cannot be part of a top-k set. No set is more
   frequent than its rarest item, so an item below the k-th best count found so far is out.
 * Groups hold each item once, which bounds them by the vocabulary whatever the number of records.
-  Groups that would still give more than ``SETS_PER_TASK`` sets are cut into parts: each part joins
-  its own share of the left rows with all right rows of the group, so that many tasks work on it and
-  no pair is lost. Group sizes are counted by aggregation, and only large groups are looked up.
+  Groups that would still give more than ``SETS_PER_TASK`` sets are cut by combination rank: with the
+  items in order, the number of sets before those that begin with two given items is known, and a part
+  takes an equal stretch of that numbering. A first item that has many sets is in several parts, with
+  some of its second items in each. Group sizes are counted by aggregation, and only large groups are
+  looked up.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caseweave.storage import keep
 
@@ -32,32 +34,60 @@ def seeds(size: int) -> int:
     return n
 
 
-def _cut(rows: DataFrame, keys: Sequence[str], parts: DataFrame) -> DataFrame:
-    """Add ``parts``, 1 for groups that are not in the table of large groups."""
-    return rows.join(parts, [*keys], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+def _choose(n: Column, size: int) -> Column:
+    """n over size, for n from 0."""
+    out = F.lit(1.0)
+    for j in range(size):
+        out = out * (n - j) / (j + 1)
+    return out
 
 
-def _scattered(rows: DataFrame, by: str) -> DataFrame:
-    """Each row in one part of its group, by a hash of ``by``."""
-    return rows.withColumn("part", F.pmod(F.hash(by), F.col("parts"))).drop("parts")
+def large_groups(rows: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
+    """(keys, n, sets, parts) of groups that are to be cut: items, sets of ``size`` of them, and the parts.
 
+    With a column ``fresh`` (1 or 0) only sets with a fresh item are counted.
+    """
+    old = F.count(F.when(F.col("fresh") == 0, 1)) if "fresh" in rows.columns else F.lit(0)
+    sized = rows.groupBy(*keys).agg(F.count("*").cast("double").alias("n"), old.cast("double").alias("old"))
+    sets = _choose(F.col("n"), size) - (_choose(F.col("old"), size))
+    return sized.withColumn("sets", sets).filter(F.col("sets") > SETS_PER_TASK).select(*keys, "n", "sets", F.ceil(F.col("sets") / SETS_PER_TASK).cast("int").alias("parts"))
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """Each row once in every part of its group."""
-    return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
+def _ranked(rows: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
+    """Rows with n, sets and parts of their group, their ``rank`` in it, and how many sets begin ``before`` them.
 
-def _sets_of(n: Column, size: int) -> Column:
-    """How many sets of a size n items have, about."""
-    return F.pow(n, F.lit(float(size))) / math.factorial(size)
+    All of that is null for rows of groups that are not cut. Only rows of large groups are ranked.
+    """
+    sized = rows.join(keep(large_groups(rows, keys, size), "large"), [*keys], "left")
+    order = [F.desc("fresh"), "item"] if "fresh" in rows.columns else ["item"]
+    large = sized.filter("parts IS NOT NULL").withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("double") - 1)
+    small = sized.filter("parts IS NULL").withColumn("rank", F.lit(None).cast("double"))
+    every = small.unionByName(large)
+    return every.withColumn("before", _choose(F.col("n"), size) - _choose(F.col("n") - F.col("rank"), size))
 
 
-def large_groups(rows: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
-    """(keys, parts) of groups that are to be cut; at most one part per row."""
-    n = F.count("*")
-    sized = rows.groupBy(*keys).agg(n.alias("rows"))
-    parts = F.least(F.col("rows"), F.ceil(_sets_of(F.col("rows"), size) / SETS_PER_TASK)).cast("int")
-    return sized.select(*keys, parts.alias("parts")).filter("parts > 1")
+def _part_of(before: Column, parts: str = "parts", sets: str = "sets") -> Column:
+    """The part that a set with so many before it lies in."""
+    return F.least(F.floor(before * F.col(parts) / F.col(sets)), F.col(parts) - 1).cast("int")
+
+
+def first_items(ranked: DataFrame, size: int) -> DataFrame:
+    """Each row in every part that has sets which begin with it."""
+    last = _part_of(F.greatest(F.col("before") + _choose(F.col("n") - 1 - F.col("rank"), size - 1) - 1, F.col("before")))
+    parts = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(_part_of(F.col("before")), last))
+    return ranked.withColumn("part", F.explode(parts))
+
+
+def other_items(ranked: DataFrame) -> DataFrame:
+    """Each row in every part that has sets which begin before it."""
+    parts = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), _part_of(F.col("before"))))
+    return ranked.withColumn("part", F.explode(parts))
+
+
+def _in_part(size: int) -> Column:
+    """Do the sets of this first and second item lie in this part? Their number before is known from both ranks."""
+    before = F.col("before1") + _choose(F.col("n1") - 1 - F.col("rank1"), size - 1) - _choose(F.col("n1") - F.col("rank2"), size - 1)
+    return F.col("rank1").isNull() | (_part_of(before, "parts1", "sets1") == F.col("part"))
 
 
 def item_sets(groups: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
@@ -69,20 +99,22 @@ def item_sets(groups: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
     """
     keys = list(keys)
     extra = [c for c in groups.columns if c not in (*keys, "item")]
-    sized = _cut(groups, keys, large_groups(groups, keys, size))
+    ranked = _ranked(groups, keys, size)
 
-    def numbered(rows: DataFrame, n: int) -> DataFrame:
-        return rows.select(*keys, "part", F.col("item").alias(f"i{n}"), *[F.col(c).alias(f"{c}{n}") for c in extra])
+    def numbered(rows: DataFrame, n: int, *more: str) -> DataFrame:
+        return rows.select(*keys, "part", F.col("item").alias(f"i{n}"), *[F.col(c).alias(f"{c}{n}") for c in (*extra, *more)])
 
     def rising(n: int) -> str:
         if "fresh" not in extra:
             return f"i{n - 1} < i{n}"
         return f"fresh{n - 1} > fresh{n} OR (fresh{n - 1} = fresh{n} AND i{n - 1} < i{n})"
 
-    out = numbered(_scattered(sized.filter("fresh = 1") if "fresh" in extra else sized, "item"), 1)
-    others = _repeated(sized)
+    out = numbered(first_items(ranked.filter("fresh = 1") if "fresh" in extra else ranked, size), 1, "n", "sets", "parts", "rank", "before")
+    others = other_items(ranked)
     for n in range(2, size + 1):
-        out = out.join(numbered(others, n), [*keys, "part"]).filter(rising(n))
+        out = out.join(numbered(others, n, *(["rank"] if n == 2 else [])), [*keys, "part"]).filter(rising(n))
+        if n == 2:
+            out = out.filter(_in_part(size)).drop("n1", "sets1", "parts1", "rank1", "before1", "rank2")
     return out.drop("part")
 
 

@@ -85,15 +85,30 @@ def test_cut_groups_lose_nothing(spark, monkeypatch):
     assert pairs.distinct().count() == pairs.count()
 
 
-def test_parts_spread_a_large_group(spark, monkeypatch):
-    monkeypatch.setattr(groups, "SETS_PER_TASK", 500)
-    df = spark.range(100).select(F.lit(1).alias("person_id"), F.col("id").alias("item"))
-    large = groups.large_groups(df, ["person_id"], 2)
-    assert [r["parts"] for r in large.collect()] == [10]
-    sized = groups._cut(df, ["person_id"], large)
-    assert {r["part"] for r in groups._scattered(sized, "item").select("part").distinct().collect()} == set(range(10))
-    assert groups._repeated(sized).count() == 1000
-    assert [r["parts"] for r in groups.large_groups(df, ["person_id"], 4).collect()] == [100]
+def test_parts_of_a_group_of_5000_items_hold_equal_numbers_of_triples(spark, monkeypatch):
+    """The triples of each part are counted from its pairs of first and second items."""
+    n, size = 5000, 3
+    monkeypatch.setattr(groups, "SETS_PER_TASK", 400_000_000)
+    df = spark.range(n).select(F.lit(1).alias("person_id"), F.col("id").alias("item"))
+    ranked = groups._ranked(df, ["person_id"], size)
+    first = groups.first_items(ranked, size).select("part", *[F.col(c).alias(f"{c}1") for c in ("n", "sets", "parts", "rank", "before")])
+    second = groups.other_items(ranked).select("part", F.col("rank").alias("rank2"))
+    pairs = first.join(second, "part").filter("rank1 < rank2").filter(groups._in_part(size))
+    shares = [(r.n, r.triples) for r in pairs.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.lit(n - 1.0) - F.col("rank2")).alias("triples")).collect()]
+    total = n * (n - 1) * (n - 2) // 6
+    mean = total / len(shares)
+    assert len(shares) == -(-total // 400_000_000) and sum(t for _, t in shares) == total
+    assert sum(p for p, _ in shares) == n * (n - 1) // 2
+    assert all(mean / 2 <= t <= 2 * mean for _, t in shares)
+
+
+@pytest.mark.parametrize("size", [2, 3, 4])
+def test_parts_of_a_cut_group_lose_nothing(spark, monkeypatch, size):
+    monkeypatch.setattr(groups, "SETS_PER_TASK", 7)
+    df = spark.createDataFrame([(p, i, int(i % 3 == p)) for p in (0, 1) for i in range(9)], "person_id long, item long, fresh int")
+    got = [(r.person_id, tuple(sorted(r[f"i{n}"] for n in range(1, size + 1)))) for r in groups.item_sets(df, ["person_id"], size).collect()]
+    want = [(p, s) for p in (0, 1) for s in itertools.combinations(range(9), size) if any(i % 3 == p for i in s)]
+    assert sorted(got) == sorted(want)
 
 
 @pytest.mark.parametrize("size", [2, 3])
