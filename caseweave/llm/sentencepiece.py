@@ -109,7 +109,7 @@ class Pieces(Stretches):
         cut[1:] |= line
         return cut
 
-    def ask(self, keys: list[int], stretches: list[bytes]) -> None:
+    def ask(self, keys: np.ndarray, stretches: list[bytes]) -> None:
         texts = [s.decode() for s in stretches]
         at = 0
         while at < len(texts):

@@ -15,6 +15,47 @@ from caseweave.llm import words as W
 CACHED = 1 << 20
 
 
+class Places:
+    """Numbers by 64-bit key: open addressing, many keys at a time."""
+
+    def __init__(self) -> None:
+        self.n = 0
+        self._sized(1 << 16)
+
+    def _sized(self, size: int) -> None:
+        self.keys, self.values, self.mask = np.zeros(size, np.uint64), np.zeros(size, np.int64), np.uint64(size - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, or -1."""
+        keys = np.maximum(keys, np.uint64(1))  # 0 is an empty slot
+        out, open_, slot = np.full(len(keys), -1, np.int64), np.arange(len(keys)), keys & self.mask
+        while len(open_):
+            there = self.keys[slot]
+            hit = there == keys
+            out[open_[hit]] = self.values[slot[hit]]
+            going = ~hit & (there != 0)
+            open_, keys, slot = open_[going], keys[going], (slot[going] + np.uint64(1)) & self.mask
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """New, different keys."""
+        self.n += len(keys)
+        if 2 * self.n > len(self.keys):
+            old, size = self.keys != 0, len(self.keys)
+            keys, values = np.concatenate([self.keys[old], keys]), np.concatenate([self.values[old], values])
+            while 2 * self.n > size:
+                size *= 2
+            self._sized(size)
+        keys = np.maximum(keys, np.uint64(1))
+        slot = keys & self.mask
+        while len(keys):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[free]
+            mine = free & (self.keys[slot] == keys)  # of several that took a slot one has it
+            self.values[slot[mine]] = values[mine]
+            keys, values, slot = keys[~mine], values[~mine], (slot[~mine] + np.uint64(1)) & self.mask
+
+
 class Stretches:
     most = CACHED  # stretches that one of these remembers
 
@@ -23,14 +64,14 @@ class Stretches:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place = Places()
         self.flat = np.zeros(1 << 20, np.uint32)
         self.begin = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def _learn(self, keys: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n, known = len(keys), len(self.place)
+    def _learn(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, known = len(keys), self.place.n
         while known + n > len(self.begin):
             self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
         while self.used + len(ids) > len(self.flat):
@@ -39,13 +80,13 @@ class Stretches:
         self.begin[known : known + n] = self.used + np.cumsum(sizes) - sizes
         self.size[known : known + n] = sizes
         self.used += len(ids)
-        self.place.update(zip(keys, range(known, known + n), strict=True))
+        self.place.add(keys, np.arange(known, known + n))
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
         """For each byte and the end: does a stretch begin there? Beginnings of texts are added."""
         raise NotImplementedError
 
-    def ask(self, keys: list[int], stretches: list[bytes]) -> None:
+    def ask(self, keys: np.ndarray, stretches: list[bytes]) -> None:
         """Learn the ids of new stretches."""
         raise NotImplementedError
 
@@ -60,16 +101,16 @@ class Stretches:
         end = np.append(start[1:], len(data))
         owner = np.searchsorted(offsets, start, side="right") - 1
         codes, keys = pd.factorize(W.hash_spans(data, start, end, self.code))
-        if len(self.place) + len(keys) > self.most:
+        if self.place.n + len(keys) > self.most:
             self._forget()
-        known = keys.tolist()
-        place = np.fromiter((self.place.get(k, -1) for k in known), np.int64, len(known))
+        place = self.place.find(keys)
         if (place < 0).any():
-            example = np.zeros(len(known), np.int64)
+            example = np.zeros(len(keys), np.int64)
             example[codes] = np.arange(len(codes))
             new = np.flatnonzero(place < 0)
-            self.ask([known[i] for i in new], [data[start[j] : end[j]].tobytes() for j in example[new]])
-            place = np.fromiter(map(self.place.__getitem__, known), np.int64, len(known))
+            whole = data.tobytes()
+            self.ask(keys[new], [whole[a:b] for a, b in zip(start[example[new]].tolist(), end[example[new]].tolist(), strict=True)])
+            place = self.place.find(keys)
         sizes = self.size[place][codes]
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.begin[place][codes] - ends + sizes, sizes) + np.arange(ends[-1])]

@@ -128,8 +128,10 @@ class ByteBpe(Stretches):
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ask(self, keys: list[int], stretches: list[bytes]) -> None:
-        plain = [b[:1] == b" " and b.count(b" ") == 1 and not any(mark in b for mark in self.special) for b in stretches]
+    def ask(self, keys: np.ndarray, stretches: list[bytes]) -> None:
+        whole = b"".join(stretches)
+        marks = [mark for mark in self.special if mark in whole]  # hardly any slice has one
+        plain = [b[:1] == b" " and b.count(b" ") == 1 and not (marks and any(mark in b for mark in marks)) for b in stretches]
         simple = [i for i, yes in enumerate(plain) if yes]
         other = [i for i, yes in enumerate(plain) if not yes]
         for at in range(0, len(simple), 2000):
@@ -137,12 +139,12 @@ class ByteBpe(Stretches):
             (ids,) = self._ids([b"".join(stretches[i] for i in some).decode()])
             first = np.flatnonzero(self.opens[ids])
             if len(first) == len(some):
-                self._learn([keys[i] for i in some], ids, np.diff(first, append=len(ids)))
+                self._learn(keys[some], ids, np.diff(first, append=len(ids)))
             else:
                 other += some
         if other:
             found = self._ids([stretches[i].decode() for i in other])
-            self._learn([keys[i] for i in other], np.concatenate(found), np.array([len(x) for x in found]))
+            self._learn(keys[other], np.concatenate(found), np.array([len(x) for x in found]))
 
 
 _loaded: dict[tuple[str, bool], ByteBpe] = {}
