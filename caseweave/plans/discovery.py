@@ -108,12 +108,16 @@ def _overlapping_sets(rows: DataFrame, size: int) -> DataFrame:
     return sets.select("person_id", *intervals.in_order(size))
 
 
+def _meeting(rows: DataFrame, size: int) -> DataFrame:
+    """(person_id, i1 ..): sets that are under way on a common day; pairs come from the sweep."""
+    return keep(sweep.overlapping_pairs(rows), "pairs") if size == 2 else _overlapping_sets(rows, size)
+
+
 def _overlapping(size: int) -> Callable[[DataFrame], DataFrame]:
     """Patients in whom all items of a set are under way on a common day."""
 
     def count(rows: DataFrame) -> DataFrame:
-        sets = sweep.overlapping_pairs(rows) if size == 2 else _overlapping_sets(rows, size)
-        return count_sets(sets, set_columns(size), unique=False)
+        return count_sets(_meeting(rows, size), set_columns(size), unique=False)
 
     return count
 
@@ -128,7 +132,7 @@ def _separate(size: int) -> Callable[[DataFrame], DataFrame]:
     def count(rows: DataFrame) -> DataFrame:
         columns = set_columns(size)
         have = item_sets(rows.select("person_id", "item").distinct(), ["person_id"], size)
-        meet = (sweep.overlapping_pairs(rows) if size == 2 else _overlapping_sets(rows, size)).distinct()
+        meet = _meeting(rows, size).distinct()
         signed = have.select(*columns, F.lit(1).alias("sign")).unionByName(meet.select(*columns, F.lit(-1).alias("sign")))
         return signed.groupBy(*columns).agg(F.sum("sign").alias("n")).filter("n > 0")
 
