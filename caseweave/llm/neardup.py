@@ -5,16 +5,20 @@
    bins; an empty bin takes the value of the bin that a fixed sequence of probes, the same for all
    documents, finds first (optimal densification).
 2. Documents with the same set are one class, stood for by its least doc_id.
-3. Classes that share a band key are a bucket. Candidates are stars: each member with one centre of
-   the bucket, so a bucket of n gives n - 1 pairs. Each class first tries the centre it shares most
-   buckets with; links are confirmed on the full sets and joined to components.
-4. A bucket whose members lie in several components has pairs that nobody has compared. It goes to
-   the next round with other centres, from its smallest components, four times as many each time,
-   until no such bucket is left. So no pair of a bucket between components is left out, and a bucket
-   of copies with a few others ends when these have met all.
+3. Classes that share a band key are a bucket. Candidates are stars: each class with the centre it
+   shares most buckets with, so a bucket of n gives n - 1 pairs at most.
+4. A pair's texts move only if its sketches and set sizes allow a link. A sketch has a byte for each of 512
+   bins; the share of equal bins must reach 0.8 less ``DEVIATIONS`` standard deviations of that share.
+   Links are then confirmed on the full sets and joined to components.
+5. A bucket whose members lie in several components has pairs that nobody has compared. Its sketches are
+   compared in blocks of ``BLOCK`` by ``BLOCK`` members inside tasks; what leaves a
+   block is, for each member, the two likeliest pairs with other components that sketches and sizes allow, in
+   later rounds more of them. So copies meet the text they are copies of before they meet each
+   other. Rounds end when no likely pair between components is untested.
 
 Two sets with a similarity of 0.8 share no band with a chance of (1 - 0.8^6)^42, 3 in a million; two
-with 0.85, 2 in 10^9. Larger buckets with the same members are one bucket.
+with 0.85, 2 in 10^9. That their sketches deny the link has a chance of 3 in 100,000 at 0.8. Larger
+buckets with the same members are one bucket.
 
 Nulls and odd rows: a text without words (null, empty or white space) has an empty set and is linked
 with nothing; rows that share a doc_id are one node of the link graph; a null doc_id has no
@@ -29,7 +33,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseweave.llm import words as W
@@ -40,8 +44,11 @@ BINS = 256
 ROWS_PER_BAND = 6
 SHINGLE_WORDS = 4
 SIMILARITY_PERCENT = 80
-MOST_CENTRES = 256  # of a bucket in one round; later rounds take the next ones
+SKETCH = 512  # bins of the bytes that pairs are judged by before texts move
+DEVIATIONS = 4
+BLOCK = 1024  # members of a bucket that are compared with as many at once
 _BIN_SHIFT = W.U64(64 - BINS.bit_length() + 1)
+_SKETCH_SHIFT = W.U64(64 - SKETCH.bit_length() + 1)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,6 +94,15 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out.reshape(n, BINS)
 
 
+def sketches(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A byte per bin of ``SKETCH``: 0 for an empty one, else 1 to 255 of its least hash. Nothing is filled up."""
+    place = np.repeat(np.arange(len(sizes)), sizes) * SKETCH + (hashes >> _SKETCH_SHIFT).astype(np.int64)
+    first = np.concatenate([[True], place[1:] != place[:-1]]) if len(place) else np.zeros(0, bool)
+    out = np.zeros(len(sizes) * SKETCH, np.uint8)
+    out[place[first]] = hashes[first] % W.U64(255) + W.U64(1)
+    return out.reshape(len(sizes), SKETCH)
+
+
 def _described(k: int, rows_per_band: int):
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.pieces(batches):
@@ -104,8 +120,9 @@ def _described(k: int, rows_per_band: int):
                 [
                     batch.column("doc_id"), pa.array(sizes), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), flat),
+                    pa.array([row.tobytes() for row in sketches(hashes, sizes)], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "high", "low", "bands"],
+                names=["doc_id", "n_shingles", "high", "low", "bands", "signature"],
             )
 
     return described
@@ -113,7 +130,88 @@ def _described(k: int, rows_per_band: int):
 
 def describe(docs: DataFrame, k: int = SHINGLE_WORDS, rows_per_band: int = ROWS_PER_BAND) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_described(k, rows_per_band), "doc_id long, n_shingles long, high long, low long, bands array<long>")
+    return rows.mapInArrow(_described(k, rows_per_band), "doc_id long, n_shingles long, high long, low long, bands array<long>, signature binary")
+
+
+def may_link(one: np.ndarray, other: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Do sizes and sketches allow a link? And the share of equal bins among those that either set fills.
+
+    Bins are a sample of the union, one of each; it is nearly all of a small union, so its share is then
+    nearly exact. A pair right at the limit is denied at ``DEVIATIONS`` standard deviations.
+    """
+    either = np.maximum(np.count_nonzero(one | other, axis=1), 1)
+    equal = np.count_nonzero((one == other) & (one != 0), axis=1) / either
+    share = percent / 100
+    left_out = np.maximum(1 - either * (1 + share) / np.maximum(n + m, 1), 0.02)
+    least = share - DEVIATIONS * np.sqrt(share * (1 - share) / either * left_out)
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (equal >= least), equal
+
+
+def _likely(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and signatures allow."""
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("of_a", "of_b"))
+            yes, _ = may_link(left, right, n, m, percent)
+            yield batch.select(["a", "b"]).filter(pa.array(yes))
+
+    own = lambda c: described.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"of_{c}"))
+    return pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "n_a", "n_b", "of_a", "of_b").mapInArrow(allowed, "a long, b long")
+
+
+def _between_components(open_: DataFrame, described: DataFrame, percent: int, most: int) -> DataFrame:
+    """(a, b, more) from buckets (key, rep, component): for each member of a block its ``most`` likeliest pairs with
+    other components; ``more`` says that there are others."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks(batches):
+            _, _, _, side, rep, component, size, signature = rows
+            first = side == side.min() if side.min() < side.max() else np.ones(len(rep), bool)
+            second = ~first if not first.all() else first
+            at, other = np.flatnonzero(first), np.flatnonzero(second)
+            out = []
+            for one in at.tolist():
+                rest = other[(component[other] != component[one]) & (100 * np.minimum(size[other], size[one]) >= percent * np.maximum(size[other], size[one]))]
+                if not len(rest):
+                    continue
+                yes, equal = may_link(signature[one][None, :], signature[rest], size[one], size[rest], percent)
+                rest, equal = rest[yes], equal[yes]
+                best = rest[np.lexsort((rest, -equal))[:most]]
+                out += [(rep[one], b, False) for b in rep[best].tolist()]
+                if len(rest) > most:
+                    out.append((rep[one], rep[one], True))
+            if out:
+                a, b, more = (np.array(c) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(more)], names=["a", "b", "more"])
+
+    sizes = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    own = described.select(F.col("doc_id").alias("rep"), "n_shingles", "signature")
+    rows = open_.join(sizes, "key").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    blocks = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    placed = blocks.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "component")
+    dealt = placed.join(own, "rep").select("key", "i", "j", "side", "rep", "component", "n_shingles", "signature").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(compared, "a long, b long, more boolean")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of neighbouring rows with the same key, i and j; signatures as a matrix."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(7)]
+        columns.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, SKETCH))
+        if not len(batch):
+            continue
+        edges = np.flatnonzero((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]) | (columns[2][1:] != columns[2][:-1])) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(batch)], strict=True):
+            part = [c[a:b] for c in columns]
+            if held and any(held[0][k][0] != part[k][0] for k in range(3)):
+                yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                held = []
+            held.append(part)
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -167,32 +265,28 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMI
     pairs = tries.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
     pairs = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     tested = [pairs]
-    links = keep(confirm(pairs, texts, k, percent), "links")
+    links = keep(confirm(_likely(pairs, described, percent), texts, k, percent), "links")
     found = components(copies.select("a", "b").union(links), "near")
 
-    centres = 1
+    # later rounds: likely pairs between components of a bucket
+    most = 2
     while n:
         placed = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
         placed, n = keep_counted(placed.join(mixed, "key"), "open")
         if not n:
             break
-        # other centres: members of the bucket's smallest components first. When they have met all
-        # others and left, the bucket is one component and done, however large that is.
-        part = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-        by_size = Window.partitionBy("key").orderBy("n", F.xxhash64("rep", F.lit(len(tested))), "rep")
-        chosen = placed.join(part, ["key", "component"]).withColumn("place", F.row_number().over(by_size)).filter(F.col("place") <= centres)
-        chosen = keep(chosen.select("key", F.col("rep").alias("centre"), F.col("component").alias("other")), "centres")
-        tries = placed.join(chosen, "key").filter("component <> other").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-        pairs, new = keep_counted(tries.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti"), "pairs")
+        likely = keep(_between_components(placed, described, percent, most), "likely")
+        pairs = likely.filter("not more").select("a", "b").distinct()
+        pairs, new = keep_counted(pairs.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti"), "pairs")
         tested.append(pairs)
+        if not new and not likely.filter("more").limit(1).count():
+            break
         if new:
             links, new = keep_counted(confirm(pairs, texts, k, percent), "links")
         if new:
             found = merge(found, links, "near")
-        # a centre has met all members of its bucket and leaves it
-        members = placed.join(chosen.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep")
-        centres = min(4 * centres, MOST_CENTRES)
+        members, most = placed.select("key", "rep"), 8 * most
 
     rows = described.select("doc_id", "n_shingles").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
