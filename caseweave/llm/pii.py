@@ -8,6 +8,11 @@ From these counts expectation-maximisation estimates, per kind, how often candid
 data and how reliable each labeler is; its posteriors train the final span classifier, a logistic
 regression over votes, kind and length. Spans of the four base patterns are always kept.
 
+The other kinds have candidates that are often something else, so that the model decides: secrets
+(values assigned to a word such as password, private keys, and any long run of mixed letters and
+digits: checksums, paths and names of files look alike), names (after a title or a phrase, or a given
+name before a capitalised word), account numbers, streets, social security and national phone numbers.
+
 Nulls and odd rows: a null or empty text has no span; repeated rows are read each by themselves; a
 null doc_id is passed through; empty tables give empty results and a model that accepts nothing.
 Other columns are not read, or passed through by ``redact``.
@@ -15,7 +20,10 @@ Other columns are not read, or passed through by ``redact``.
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -29,7 +37,7 @@ from caseweave.llm import words as W
 from caseweave.storage import keep
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "ssn", "national_phone", "name")
+KINDS = (*BASE_KINDS, "ssn", "national_phone", "name", "iban", "secret", "street")
 LABELERS = ("shape", "value", "gazetteer", "before", "beside")
 LENGTHS = (12, 18)  # spans are told apart by length below, between and above
 ROUNDS = 50
@@ -44,7 +52,18 @@ NUMBERS = re.compile(r"[0-9(][0-9() .-]{7,}[0-9]")
 SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 NATIONAL = re.compile(r"(?<![0-9])\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Señor", "Señora", "Monsieur", "Madame")
-NAME = re.compile(r"\b(?:" + "|".join(TITLES) + r")\.? [A-ZÀ-ÖØ-Þ][\w'-]+(?: [A-ZÀ-ÖØ-Þ][\w'-]+)?")
+CAPITALISED = r"[A-ZÀ-ÖØ-Þ][\w'-]+"
+NAME = re.compile(rf"\b(?:{'|'.join(TITLES)})\.? {CAPITALISED}(?: {CAPITALISED})?")
+PHRASES = ("name is ", "Name: ", "signed by ", "Ich heiße ", "m'appelle ", "me llamo ")
+NAMED = re.compile(rf"(?:{'|'.join(PHRASES)})({CAPITALISED}(?: {CAPITALISED})?)")
+TWO_CAPITALISED = re.compile(rf"{CAPITALISED}(?= {CAPITALISED})")
+SURNAME = re.compile(rf" {CAPITALISED}")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+RUN = re.compile(r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/.-]{16,}=*")
+ASSIGNED = re.compile(r"(?i)(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>]{6,})")
+PRIVATE_KEY = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*?-----END [A-Z ]*PRIVATE KEY-----")
+STREET = re.compile(r"\b[0-9]{1,5} (?:[A-Z][\w'-]+ ){1,3}(?:Street|Avenue|Road|Boulevard|Lane|Drive|Court|Square)\b|\b[A-ZÄÖÜ][a-zäöüß-]*(?:straße|strasse|allee|platz) [0-9]{1,4}\b")
+STREETS = (" Street", " Avenue", " Road", " Boulevard", " Lane", " Drive", " Court", " Square", "straße ", "strasse ", "allee ", "platz ")
 
 # Words and codes that the gazetteer and the context labelers look up.
 TOP_DOMAINS = frozenset("com org net edu gov mil int info biz io ai co uk de fr es it nl eu us ca au jp cn in br ch at be se no dk pl ru".split())
@@ -57,8 +76,18 @@ CUES = {
     "ssn": ("ssn", "social", "security"),
     "national_phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "teléfono", "téléphone"),
     "name": ("name", "signed", "from", "by", "dear", "liebe", "cher", "estimado"),
+    "iban": ("iban", "account", "konto", "compte", "cuenta", "bank", "transfer"),
+    "secret": ("password", "passwd", "pwd", "passphrase", "secret", "token", "key", "credential", "auth", "bearer", "login"),
+    "street": ("address", "street", "live", "lives", "home", "adresse", "wohn", "dirección", "anschrift"),
 }
 AGAINST = ("version", "isbn", "order", "invoice", "section", "figure", "page", "release")
+CHECKSUMS = ("sha", "md5", "commit", "checksum", "digest", "hash", "revision", "uuid", "etag")
+SECRET_PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk-", "sk_live_", "pk_live_", "xoxb-", "xoxp-", "eyJ", "ya29.", "-----BEGIN")
+GIVEN_NAMES = frozenset(
+    "Alice Anna Antonio Barbara Carlos Carmen Charles Christopher Claire David Elena Elizabeth Emily Emma Franz François George Hans Heinrich "
+    "Isabel Jacques James Jane Javier Jean Jennifer Jessica John Jorge José Joseph Juan Julia Karen Karl Klaus Laura Linda Louis Luis Manuel Maria "
+    "Marie Mary Michael Michel Miguel Nathalie Patricia Paul Pedro Peter Philippe Pierre Richard Robert Sarah Sophie Susan Thomas William Wolfgang".split()
+)
 
 
 class Span(NamedTuple):
@@ -121,11 +150,76 @@ def _more_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
             continue
         for kind, pattern in (("ssn", SSN), ("national_phone", NATIONAL)):
             found += [(kind, *m.span()) for m in pattern.finditer(text, region.start(), region.end())]
-    if any(f"{t} " in text or f"{t}. " in text for t in TITLES):
-        found += [("name", *m.span()) for m in NAME.finditer(text)]
-    if taken and found:
-        found = [x for x in found if all(x[2] <= s or e <= x[1] for _, s, e in taken)]
-    return sorted(found, key=lambda x: (KINDS.index(x[0]), x[1]))
+    found += [("name", s, e) for s, e in _names(text)]
+    found += [("iban", *m.span()) for m in IBAN.finditer(text)]
+    found += [("secret", s, e) for s, e in _secrets(text)]
+    if any(word in text for word in STREETS):
+        found += [("street", *m.span()) for m in STREET.finditer(text)]
+    found.sort(key=lambda x: (KINDS.index(x[0]), x[1]))
+    ibans = [x for x in found if x[0] == "iban"]
+    free, free_of_both = _apart_from(taken), _apart_from(taken + ibans)
+    return [x for x in found if (free_of_both if x[0] == "secret" else free)(x)]
+
+
+def _apart_from(taken: list[tuple[str, int, int]]) -> Callable[[tuple[str, int, int]], bool]:
+    """Tells whether a span touches none of the taken ones, by bisection over their merged ranges."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, s, e in sorted(taken, key=lambda x: x[1]):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+
+    def apart(span: tuple[str, int, int]) -> bool:
+        at = bisect_right(ends, span[1])
+        return at == len(ends) or span[2] <= starts[at]
+
+    return apart
+
+
+def _leftmost(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Spans in order of start, the longest first; those that overlap an earlier one are dropped."""
+    over = 0
+    for s, e in sorted(set(spans), key=lambda x: (x[0], -x[1])):
+        if s >= over:
+            over = e
+            yield s, e
+
+
+def _names(text: str) -> Iterator[tuple[int, int]]:
+    found = [m.span() for m in NAME.finditer(text)] if any(f"{t} " in text or f"{t}. " in text for t in TITLES) else []
+    if any(phrase in text for phrase in PHRASES):
+        found += [m.span(1) for m in NAMED.finditer(text)]
+    for m in TWO_CAPITALISED.finditer(text):
+        if m.group() in GIVEN_NAMES:
+            found.append((m.start(), SURNAME.match(text, m.end()).end()))
+    return _leftmost(found)
+
+
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Values that a word such as password is set to, private keys, and long runs of letters and digits."""
+    found = [m.span() for m in PRIVATE_KEY.finditer(text)] if "PRIVATE KEY-----" in text else []
+    if "=" in text or ":" in text:
+        found += [m.span(1) for m in ASSIGNED.finditer(text)]
+    for m in RUN.finditer(text):
+        run = m.group().rstrip(".-/")
+        if any("0" <= c <= "9" for c in run) and any(c.isalpha() for c in run) and len(run) >= 16:
+            found.append((m.start(), m.start() + len(run)))
+    return _leftmost(found)
+
+
+def _bits(span: str) -> float:
+    """Entropy of the characters of a span, in bits per character."""
+    return -sum(n / len(span) * math.log2(n / len(span)) for n in Counter(span).values())
+
+
+def _mod_97(iban: str) -> bool:
+    rest = 0
+    for c in iban[4:] + iban[:4]:
+        rest = (rest * (100 if c.isalpha() else 10) + int(c, 36)) % 97
+    return rest == 1
 
 
 def _votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
@@ -150,11 +244,28 @@ def _votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
         gazetteer = -1 if len(set(digits)) < 3 else 0
     elif kind == "ssn":
         shape, value = 1, 1 if digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000" else -1
+    elif kind == "name":
+        first = span.split(" ")[0].rstrip(".")
+        shape = 1 if len(span.split(" ")) > 1 else -1
+        value = 1 if first in TITLES else 0
+        gazetteer = 1 if not GIVEN_NAMES.isdisjoint(span.split(" ")) else 0
+    elif kind == "iban":
+        shape = 1 if 15 <= len(span.replace(" ", "")) <= 34 else -1
+        value = 1 if _mod_97(span.replace(" ", "")) else -1
+    elif kind == "secret":
+        known = span.startswith(SECRET_PREFIXES)
+        words = max(map(len, re.findall("[A-Za-z]+", span)), default=0)
+        shape = 1 if known or re.fullmatch(r"[0-9A-Fa-f]{24,}|[A-Za-z0-9+/_-]{20,}=*", span) and words < 10 else -1
+        value = 1 if _bits(span) >= min(3.5, 0.7 * math.log2(len(span))) else -1
+        gazetteer = 1 if known else -1 if any(word in text[max(0, start - 16) : start].lower() for word in CHECKSUMS) else 0
     else:
-        shape, gazetteer = 1, 1
+        shape = 1
+        gazetteer = 1 if len(span.split(" ")) > 2 else 0
     near = text[max(0, start - 40) : start].lower()
     before = 1 if any(cue in near for cue in CUES[kind]) else -1 if any(cue in near for cue in AGAINST) else 0
     left, right = text[start - 1 : start], text[end : end + 1]
+    if kind == "secret":  # a secret is named and stands in quotes or behind a sign; without these a run is more likely a name or a checksum
+        return shape, value, gazetteer, before or -1, 1 if left in tuple("\"'=:`") or right in tuple("\"'`") else -1
     beside = -1 if left.isalnum() or right.isalnum() or left in tuple("/=#_") or right in tuple("/=#_") else 1
     return shape, value, gazetteer, before, beside
 
