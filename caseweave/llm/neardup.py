@@ -14,7 +14,8 @@
    compared in blocks of ``BLOCK`` by ``BLOCK`` members inside tasks; what leaves a
    block is, for each member, the two likeliest pairs with other components that sketches and sizes allow, in
    later rounds more of them. So copies meet the text they are copies of before they meet each
-   other. Rounds end when no likely pair between components is untested.
+   other. Open buckets that share most of their members are put together, so that a pair is not compared once
+   per band; one whose likely pairs have all been tested is done. Rounds end when no likely pair between components is untested.
 
 Two sets with a similarity of 0.8 share no band with a chance of (1 - 0.8^6)^42, 3 in a million; two
 with 0.85, 2 in 10^9. That their sketches deny the link has a chance of 3 in 100,000 at 0.8. Larger
@@ -47,6 +48,7 @@ SIMILARITY_PERCENT = 80
 SKETCH = 512  # bins of the bytes that pairs are judged by before texts move
 DEVIATIONS = 4
 BLOCK = 1024  # members of a bucket that are compared with as many at once
+WITNESSES = 4  # largest buckets of a member that its other ones may join
 _BIN_SHIFT = W.U64(64 - BINS.bit_length() + 1)
 _SKETCH_SHIFT = W.U64(64 - SKETCH.bit_length() + 1)
 
@@ -162,16 +164,16 @@ def _likely(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
 
 
 def _between_components(open_: DataFrame, described: DataFrame, percent: int, most: int) -> DataFrame:
-    """(a, b, more) from buckets (key, rep, component): for each member of a block its ``most`` likeliest pairs with
-    other components; ``more`` says that there are others."""
+    """(a, b, unfinished) from buckets (key, rep, component): for each member of a block its ``most`` likeliest pairs
+    with other components; a row with ``unfinished`` names a bucket that has more of them."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _blocks(batches):
-            _, _, _, side, rep, component, size, signature = rows
+            key, _, _, side, rep, component, size, signature = rows
             first = side == side.min() if side.min() < side.max() else np.ones(len(rep), bool)
             second = ~first if not first.all() else first
             at, other = np.flatnonzero(first), np.flatnonzero(second)
-            out = []
+            out, unfinished = [], False
             for one in at.tolist():
                 rest = other[(component[other] != component[one]) & (100 * np.minimum(size[other], size[one]) >= percent * np.maximum(size[other], size[one]))]
                 if not len(rest):
@@ -179,12 +181,12 @@ def _between_components(open_: DataFrame, described: DataFrame, percent: int, mo
                 yes, equal = may_link(signature[one][None, :], signature[rest], size[one], size[rest], percent)
                 rest, equal = rest[yes], equal[yes]
                 best = rest[np.lexsort((rest, -equal))[:most]]
-                out += [(rep[one], b, False) for b in rep[best].tolist()]
-                if len(rest) > most:
-                    out.append((rep[one], rep[one], True))
+                out += [(rep[one], b) for b in rep[best].tolist()]
+                unfinished |= len(rest) > most
             if out:
-                a, b, more = (np.array(c) for c in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(more)], names=["a", "b", "more"])
+                a, b = (np.array(c) for c in zip(*out, strict=True))
+                names = pa.array([key[0] if unfinished else None] + [None] * (len(out) - 1), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), names], names=["a", "b", "unfinished"])
 
     sizes = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
     own = described.select(F.col("doc_id").alias("rep"), "n_shingles", "signature")
@@ -192,7 +194,29 @@ def _between_components(open_: DataFrame, described: DataFrame, percent: int, mo
     blocks = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     placed = blocks.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "component")
     dealt = placed.join(own, "rep").select("key", "i", "j", "side", "rep", "component", "n_shingles", "signature").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(compared, "a long, b long, more boolean")
+    return dealt.mapInArrow(compared, "a long, b long, unfinished long")
+
+
+def _gathered(open_: DataFrame) -> DataFrame:
+    """The rows of buckets (key, rep, component), buckets that share most members put together.
+
+    A bucket takes the name of the largest one that at least half of its members are in, as far as the ``WITNESSES``
+    largest buckets of each member tell; all its rows do, so no pair is lost. A name under which more comparisons
+    would be made than by its buckets apart is not taken. A member has one bucket per band at most; rows are distinct.
+    """
+    sizes = open_.groupBy("key").agg(F.count("*").alias("n"))
+    own = open_.join(sizes, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "key")), asc=False).alias("buckets"))
+    pairs = own.select(F.explode("buckets").alias("inner"), F.slice("buckets", 1, WITNESSES).alias("largest"))
+    pairs = pairs.select("inner", F.explode("largest").alias("outer")).filter("outer > inner")
+    shared = pairs.groupBy("inner", "outer").agg(F.count("*").alias("shared")).filter("2 * shared >= inner.n")
+    to = shared.groupBy(F.col("inner.key").alias("key")).agg(F.max("outer").alias("to"))
+    names = keep(sizes.join(to, "key", "left").select("key", F.col("n").cast("double").alias("n"), F.coalesce("to.key", "key").alias("name")), "names")
+    moved = names.filter("name <> key")
+    full = open_.join(names, "key").select("name", "rep").distinct().groupBy("name").agg(F.count("*").cast("double").alias("members"))
+    apart = names.groupBy("name").agg(F.sum(F.col("n") * F.col("n")).alias("comparisons"))
+    worth = full.join(apart, "name").filter("members * members <= comparisons").select("name")
+    moved = moved.join(worth, "name", "left_semi").select("key", "name")
+    return open_.join(moved, "key", "left").select(F.coalesce("name", "key").alias("key"), "rep", "component").distinct()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -257,7 +281,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMI
     copies = keep(copies, "copies")
     members, n = keep_counted(_candidates(described, copies), "members")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = keep(texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    reps = keep(members.select(F.col("rep").alias("doc_id")).distinct(), "reps")
+    texts = keep(texts.join(reps, "doc_id", "left_semi"), "texts")
+    sketched = keep(described.select("doc_id", "n_shingles", "signature").join(reps, "doc_id", "left_semi"), "sketched")  # all that later rounds read
 
     # first round: each class against the centre that it shares most buckets with
     star = members.groupBy("key").agg(F.min("rep").alias("b"))
@@ -265,28 +291,29 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMI
     pairs = tries.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
     pairs = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     tested = [pairs]
-    links = keep(confirm(_likely(pairs, described, percent), texts, k, percent), "links")
+    links = keep(confirm(_likely(pairs, sketched, percent), texts, k, percent), "links")
     found = components(copies.select("a", "b").union(links), "near")
 
     # later rounds: likely pairs between components of a bucket
-    most = 2
+    most, first = 2, True
     while n:
         placed = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-        placed, n = keep_counted(placed.join(mixed, "key"), "open")
+        placed, n = keep_counted(placed.join(mixed, "key").distinct(), "open")
         if not n:
             break
-        likely = keep(_between_components(placed, described, percent, most), "likely")
-        pairs = likely.filter("not more").select("a", "b").distinct()
+        if first:
+            placed, first = keep(_gathered(placed), "gathered"), False
+        likely = keep(_between_components(placed, sketched, percent, most), "likely")
+        pairs = likely.select("a", "b").distinct()
         pairs, new = keep_counted(pairs.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti"), "pairs")
         tested.append(pairs)
-        if not new and not likely.filter("more").limit(1).count():
-            break
         if new:
             links, new = keep_counted(confirm(pairs, texts, k, percent), "links")
         if new:
             found = merge(found, links, "near")
-        members, most = placed.select("key", "rep"), 8 * most
+        left = likely.select(F.col("unfinished").alias("key")).filter("key is not null").distinct()
+        members, most = placed.select("key", "rep").join(left, "key", "left_semi"), 16 * most
 
     rows = described.select("doc_id", "n_shingles").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")

@@ -36,3 +36,17 @@ def test_empty_sets_and_unequal_sizes():
     assert not rows.any() and rows.shape == (2, neardup.SKETCH)
     ok, _ = neardup.may_link(rows[:1], rows[1:], np.array([0]), np.array([3]), 80)
     assert not ok[0]
+
+
+def test_gathered_buckets_lose_no_pair_and_save_comparisons(spark):
+    """Buckets of random subsets of alike groups, a hot one among them, against all pairs that share one."""
+    rng = np.random.default_rng(3)
+    groups = [range(0, 60), range(60, 64), range(50, 75), range(200, 202)]
+    rows = [(10 * g + band, int(x), int(x) % 7) for g, group in enumerate(groups) for band in range(8) for x in group if rng.random() < 0.8]
+    members = lambda found: {k: {r for key, r, _ in found if key == k} for k, _, _ in found}
+    pairs = lambda buckets: {(a, b) for m in buckets.values() for a in m for b in m if a < b}
+    got = [tuple(r) for r in neardup._gathered(spark.createDataFrame(rows, "key long, rep long, component long")).collect()]
+    before, after = members(rows), members(got)
+    assert len(got) == len(set(got)) and pairs(before) <= pairs(after) and {(r, c) for _, r, c in got} == {(r, c) for _, r, c in rows}
+    assert sum(len(m) ** 2 for m in after.values()) < sum(len(m) ** 2 for m in before.values()) / 3
+    assert neardup._gathered(spark.createDataFrame([], "key long, rep long, component long")).count() == 0
