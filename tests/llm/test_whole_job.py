@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from caseweave.llm import mixing, pii, queries, shards, vectors
+from caseweave.storage import keep
 
 from .conftest import ODD
 
@@ -28,7 +29,7 @@ def one_rare_row_in_a_large_corpus(spark, n):
 
 def test_one_rare_value_does_not_set_the_rate_of_a_large_corpus(spark):
     def kept(cells):
-        cells = cells.localCheckpoint()
+        cells = keep(cells, "cells")
         rows = mixing.probabilities(mixing.rake(cells, mixing.flattened(cells, 0.9), sweeps=2), hold=False).toPandas()
         assert rows.probability.between(0, 1).all()
         return (rows.tokens * rows.probability).sum() / rows.tokens.sum(), rows[rows.source == ""].probability.tolist()
