@@ -2,7 +2,8 @@
 
 import re
 
-from checks.starviews import star_tables
+from checks.starviews import StarTables, star_tables
+from caseweave.operators import persons
 from caseweave.plans import discovery
 from conftest import SF
 
@@ -28,3 +29,17 @@ def test_top_k_is_one_step(star):
 
 def test_tables_are_kept_once_per_session(spark):
     assert star_tables(spark, SF) is star_tables(spark, SF)
+
+
+def test_tables_are_written_when_they_are_read(spark):
+    tables = StarTables(spark, SF)
+    discovery.birth_years(tables).collect()
+    assert set(tables._made) == {"person"}
+    rows = [getattr(tables, name).count() for name in ("drug_exposure", "drug_era", "condition_occurrence", "condition_era")]
+    assert set(tables._made) == {"person", "lines"} and len(set(rows)) == 1
+
+
+def test_short_overlaps_shuffle_hits_once(spark):
+    hits = spark.createDataFrame([(1, 1, 0, 0, 9)], "instance_id long, person_id long, slot int, first int, last int")
+    text = plan(persons.having_short_overlap(hits, 4, 30))
+    assert "Join" not in text and text.count("Exchange") == 1
