@@ -123,3 +123,11 @@ def test_parts_of_an_address_may_begin_with_many_zeros():
     spans = pii.base_spans(text)
     assert [s for s in spans if s[0] == "ip"] == [("ip", 3, 32), ("ip", text.index("0.0.0."), len(text))]
     assert all(pii._votes(text, *s) for s in spans)
+
+
+def test_encoding_and_decoding_are_not_in_one_task(spark):
+    """Two Python workers of one task hold the model and their batches at the same time."""
+    docs = spark.createDataFrame([(1, "A text.", "web", "en", 7), (None, None, None, None, None)], "doc_id long, text string, source string, lang string, n_chars long")
+    out = corpus_pipeline.encode_pieces(spark, docs, "")
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r["round_trip"], r["n_pieces"] > 0) for r in out.collect()) == [(True, False), (True, True)]
