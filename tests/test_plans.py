@@ -5,6 +5,8 @@ import re
 from checks.starviews import StarTables, star_tables
 from caseweave.operators import persons
 from caseweave.plans import discovery
+from caseweave.plans.cohorts import COHORTS, evaluate
+from checks.instances import instances_for
 from conftest import SF
 
 
@@ -43,3 +45,9 @@ def test_short_overlaps_shuffle_hits_once(spark):
     hits = spark.createDataFrame([(1, 1, 0, 0, 9)], "instance_id long, person_id long, slot int, first int, last int")
     text = plan(persons.having_short_overlap(hits, 4, 30))
     assert "Join" not in text and text.count("Exchange") == 1
+
+
+def test_events_of_a_trait_are_dealt_by_patient_once(star):
+    cohort = COHORTS["F0034"]
+    text = plan(evaluate(star, cohort, instances_for(star, cohort)))
+    assert "count(distinct" not in text and len(re.findall(r"REPARTITION_BY_COL", text)) == 1
