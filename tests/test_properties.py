@@ -257,3 +257,9 @@ def test_undated_eras_are_separate(spark, tiny):
     era = [(1, 1, day(0), day(9)), (1, 2, None, day(9)), (2, 1, day(0), day(9)), (2, 2, day(5), None), (3, 1, day(0), day(9)), (3, 2, day(5), day(6))]
     found = discovery.condition_pairs_separate(tiny(concept=ids, condition_era=era)).collect()
     assert [(r["condition1_name"], r["condition2_name"], r["person_count"]) for r in found] == [("a", "b", 2)]
+
+
+def test_hits_of_nobody_overlap_nothing(spark):
+    rows = [(1, p, slot, 0, 9) for p in (None, 7) for slot in range(2)]
+    df = spark.createDataFrame(rows, "instance_id long, person_id long, slot int, first int, last int")
+    assert [r["person_id"] for r in persons.having_short_overlap(df, 2, 30).collect()] == [7]
