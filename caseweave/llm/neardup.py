@@ -239,7 +239,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are as similar as asked."""
+    """The pairs (a, b) whose full shingle sets are as similar as asked.
+
+    ``pairs`` is read three times and should be a kept table; only texts that stand in a pair move.
+    """
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.pieces(W.pieces(batches, "text_a"), "text_b"):
@@ -253,9 +256,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                     yes[row] = 100 * shared >= percent * (n + m - shared)
             yield batch.select(["a", "b"]).filter(pa.array(yes))
 
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    other = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b").mapInArrow(confirmed, "a long, b long")
+    own = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")).join(pairs.select(c).distinct(), c, "left_semi")
+    return pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(confirmed, "a long, b long")
 
 
 def _candidates(described: DataFrame, copies: DataFrame) -> DataFrame:
@@ -266,6 +268,9 @@ def _candidates(described: DataFrame, copies: DataFrame) -> DataFrame:
     """
     stands = described.filter("n_shingles > 0 and doc_id is not null").join(copies.select(F.col("a").alias("doc_id"), "high", "low"), ["doc_id", "high", "low"], "left_anti")
     spread = stands.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"))
+    shared = spread.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")  # most keys have one class: count them before anything else of them moves
+    shared = keep(shared, "shared")
+    spread = keep(spread.join(shared, "key", "left_semi"), "spread")
     sums = [F.sum(F.shiftright(F.xxhash64("rep", F.lit(seed)), 32)).alias(f"sum{seed}") for seed in (1, 2)]
     several = spread.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("n"), *sums).filter("first <> last")
     different = several.groupBy("first", "last", "n", "sum1", "sum2").agg(F.min("key").alias("key"), F.count("*").alias("bands"))
@@ -291,7 +296,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMI
     pairs = tries.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
     pairs = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     tested = [pairs]
-    links = keep(confirm(_likely(pairs, sketched, percent), texts, k, percent), "links")
+    links = keep(confirm(keep(_likely(pairs, sketched, percent), "likely"), texts, k, percent), "links")
     found = components(copies.select("a", "b").union(links), "near")
 
     # later rounds: likely pairs between components of a bucket

@@ -50,3 +50,17 @@ def test_gathered_buckets_lose_no_pair_and_save_comparisons(spark):
     assert len(got) == len(set(got)) and pairs(before) <= pairs(after) and {(r, c) for _, r, c in got} == {(r, c) for _, r, c in rows}
     assert sum(len(m) ** 2 for m in after.values()) < sum(len(m) ** 2 for m in before.values()) / 3
     assert neardup._gathered(spark.createDataFrame([], "key long, rep long, component long")).count() == 0
+
+
+def test_only_shared_band_keys_and_texts_of_pairs_move(spark):
+    long_text = " ".join(f"word{n}" for n in range(200))
+    docs = spark.createDataFrame([(1, long_text), (2, long_text + " more"), (3, "nothing like the others at all"), (4, None)], "doc_id long, text string")
+    described = neardup.describe(docs)
+    copies = spark.createDataFrame([], "a long, b long, high long, low long")
+    members = neardup._candidates(described, copies)
+    assert {r["rep"] for r in members.collect()} == {1, 2}
+    assert "Generate" not in members._jdf.queryExecution().executedPlan().toString()  # what is unique was left behind in a first count
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    links = neardup.confirm(pairs, docs, 4, 80)
+    assert [tuple(r) for r in links.collect()] == [(1, 2)]
+    assert links._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2
