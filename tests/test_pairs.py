@@ -7,7 +7,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from caseweave.operators import groups, pairs
+from caseweave import storage
+from caseweave.operators import groups, pairs, sweep
 from caseweave.plans import discovery
 
 ENDS = "person_id long, item long, first int, last int"
@@ -76,3 +77,26 @@ def test_pairs_are_no_rows(spark):
     """A pair is a number in a list until it is counted."""
     baskets = spark.createDataFrame([(p, i) for p in range(5) for i in range(40)], "person_id long, item long")
     assert pairs.within(baskets).count() == 5 * 39
+
+
+def test_tasks_hold_a_share_that_does_not_grow(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "NUMBERS_PER_TASK", 10)
+    baskets = spark.createDataFrame([(p, i) for p in range(5) for i in range(40)], "person_id long, item long")
+    lists = pairs.lists_of(baskets)
+    numbers = pairs.numbers_within(lists)
+    assert numbers == 5 * 40 * 39 / 2
+    assert storage.many_parts(spark, numbers, 10) == 390 and storage.many_parts(spark, 10, 10) == 0
+    dealt = storage.dealt_out(pairs.within_lists(lists), numbers, "first", per_task=10)
+    assert dealt.rdd.getNumPartitions() == 390
+    got = pairs.top_pairs(pairs.within_lists(lists), groups.item_support(baskets), ("i1", "i2"), 10, numbers=numbers)
+    assert top(got, ("i1", "i2"), 10) == [(-5, (0, i)) for i in range(1, 11)]
+
+
+def test_pairs_of_repeated_overlaps_and_unknown_patients(spark):
+    rows = [(p, i, 0, 5) for p in (1, 2, None) for i in (10, 11, 12)] * 3 + [(1, 13, 5000, 5001), (2, 13, 5, 9)]
+    rows = spark.createDataFrame(rows, ENDS).filter("person_id IS NOT NULL")
+    found = sweep.overlapping_pairs(rows, amount=1 << 24)
+    assert len(found.collect()) == 9
+    lists = pairs.of_pairs(found.unionByName(found))
+    support = lists.groupBy(F.col("first").alias("item")).agg(F.count("*").alias("n"))
+    assert top(pairs.top_pairs(lists, support, ("i1", "i2"), 10), ("i1", "i2"), 10) == [(-2, (10, 11)), (-2, (10, 12)), (-2, (11, 12)), (-1, (10, 13)), (-1, (11, 13)), (-1, (12, 13))]
