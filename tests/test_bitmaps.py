@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from caseweave.operators import bitmaps, sweep
@@ -115,3 +116,39 @@ def test_a_long_stretch_over_several_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert pairs == sets == {(a, b) for a in range(400) for b in range(a + 1, 400) if b // 7 <= a // 7 + 2}
+
+
+@pytest.mark.parametrize("size", [3, 4])
+def test_sets_are_counted_by_their_pairs(monkeypatch, size):
+    """A unit of few frequent pairs is not searched item by item."""
+    rng = random.Random(8)
+    rows = [sorted(rng.sample(range(1, 200), 9)) for _ in range(300)] + [[3, 50, 90, 120]] * 4
+    unit = bitmaps.Unit(np.zeros(len(rows), bool), np.arange(len(rows)), np.array([len(r) for r in rows]), np.concatenate(rows))
+    counts = Counter((0, *s) for r in rows for s in itertools.combinations(r, size - 1))
+    for joined in (bitmaps.JOINED, 0):  # with 0 all sets of four are searched depth first
+        monkeypatch.setattr(bitmaps, "JOINED", joined)
+        if joined:
+            monkeypatch.setattr(bitmaps.Search, "_grow", lambda *_: pytest.fail("searched item by item"))
+        search = bitmaps.Search(size, 10, 3)
+        search.unit(0, unit)
+        assert search.best == [b for b in best(counts, 10) if -b[0] >= 3]
+        monkeypatch.undo()
+
+
+def test_pairs_of_a_unit_in_many_blocks(monkeypatch):
+    """Small tables: rows and items are taken part by part, with the same counts."""
+    rng = random.Random(9)
+    rows = [(p, sorted(rng.sample(range(1, 30), 8))) for p in range(40) for _ in range(rng.randint(1, 4))]
+    unit = bitmaps.Unit(np.ones(len(rows), bool), np.array([p for p, _ in rows]), np.array([8] * len(rows)), np.concatenate([r for _, r in rows]))
+    counts = Counter(ids for _, ids in {(p, (0, *s)) for p, r in rows for s in itertools.combinations(r, 3)})
+    for cells in (bitmaps.CELLS, 100):
+        monkeypatch.setattr(bitmaps, "CELLS", cells)
+        search = bitmaps.Search(4, 12, 2, bitmaps.OVERLAPPING)
+        search.unit(0, unit)
+        assert search.best == best(counts, 12)
+
+
+def test_events_of_one_item_are_one_member_of_a_clique(spark):
+    rows = [(1, 1, d, d + 3) for d in range(0, 30, 2)] + [(1, 2, 0, 40), (1, 3, 20, 25)]
+    df = spark.createDataFrame(rows, "person_id long, item long, first int, last int")
+    assert [r["items"] for r in sweep.cliques(df, 2).collect()] == [[1, 2, 3]]
