@@ -250,6 +250,8 @@ def encode(docs: DataFrame, path: str, text_column: str = "text", ids_column: st
             ids, sizes = model(path).encode(*W.text_bytes(_marked(batch.column(text_column))))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, ids_column])
+            del batch, ids, sizes, lists
+            W.give_back()  # the index of a slice is many times its text
 
     fields = [T.StructField(f.name, f.dataType) for f in docs.schema]
     return docs.mapInArrow(encoded, T.StructType([*fields, T.StructField(ids_column, T.ArrayType(T.IntegerType()))]))
@@ -266,6 +268,9 @@ def decode(rows: DataFrame, path: str, ids_column: str = "ids", text_column: str
                 sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
                 texts = [b.decode(errors="replace") for b in model(path).decode(pc.list_flatten(lists).to_numpy(zero_copy_only=False), sizes)]
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_column])
+                del some, lists, sizes, texts
+            del batch
+            W.give_back()
 
     fields = [T.StructField(f.name, f.dataType) for f in rows.schema]
     return rows.mapInArrow(decoded, T.StructType([*fields, T.StructField(text_column, T.StringType())]))

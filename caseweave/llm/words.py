@@ -8,6 +8,7 @@ bytes and cutting characters is the same.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,6 +26,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 pa.set_memory_pool(pa.system_memory_pool())  # a worker gives memory back between batches
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
 
 
 class Alphabet(NamedTuple):
@@ -49,6 +51,12 @@ def alphabet(separators: bytes, lower: bool = False) -> Alphabet:
     return Alphabet(separator, code)
 
 
+def give_back() -> None:
+    """Memory that is free goes back to the system, pieces between used ones too; the allocator would keep it for a worker's life."""
+    if _trim is not None:
+        _trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads every bit of 64-bit numbers over all bits (the finishing steps of splitmix64)."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -66,6 +74,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             stop = max(begin + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(begin, stop - begin)
             begin = stop
+        del batch
+        give_back()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

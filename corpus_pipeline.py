@@ -58,13 +58,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: (doc_id, source, lang, n_chars, n_pieces, ids, round_trip) of the masked texts.
 
-    The ids are decoded again; round_trip says whether that gives the text. They are written in between, so that a
-    task has one Python worker at a time and not one for each direction.
+    The ids are decoded again; round_trip says whether that gives the text, by the SHA-256 of both, so that decoding does
+    not carry the texts along. The ids are written in between, so that a task has one Python worker at a time and not one
+    for each direction.
     """
     path = public_tokenizers.path(MODEL)
-    encoded = keep(sentencepiece.encode(docs.select("doc_id", "text", "source", "lang", "n_chars"), path), "encoded")
-    both = sentencepiece.decode(encoded, path)
-    round_trip = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(sentencepiece.MARK), F.lit(" "))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    wanted = digest(F.replace(F.coalesce("text", F.lit("")), F.lit(sentencepiece.MARK), F.lit(" ")))
+    encoded = sentencepiece.encode(docs.select("doc_id", "text", "source", "lang", "n_chars", wanted.alias("digest")), path)
+    both = sentencepiece.decode(keep(encoded.drop("text"), "encoded"), path)
+    round_trip = digest(F.col("decoded")) == F.col("digest")
     return both.select("doc_id", "source", "lang", "n_chars", F.size("ids").cast("long").alias("n_pieces"), "ids", round_trip.alias("round_trip"))
 
 
