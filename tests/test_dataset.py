@@ -132,3 +132,15 @@ def test_literals_survive_as_sql_text(spark):
     for value in ("a\\b", "it's", "two  blanks", "\\'", "tab\\t"):
         text = spark.range(1).select(sql_literal(F.lit(value))).first()[0]
         assert spark.sql(f"SELECT {text}").first()[0] == value
+
+
+def test_steps_of_a_dataset_are_shared(star, monkeypatch):
+    """Two cohorts of one discovery find its rows once, and two gaps share the lists of ends."""
+    from caseweave.operators import pairs
+
+    made = []
+    for function in ("lists_of", "ends_of"):
+        monkeypatch.setattr(pairs, function, lambda *args, f=getattr(pairs, function), name=function: made.append(name) or f(*args))
+    rows = dataset(star, ["F0004", "F0005", "F0022", "F0023"], k=2)
+    assert sorted(made) == ["ends_of", "lists_of"]
+    assert rows.count() == 8

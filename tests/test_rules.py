@@ -206,3 +206,10 @@ def test_one_name_with_two_codes(tiny, spark):
     names = spark.createDataFrame([("sAmE",), ("other",)], "name string")
     assert codes_by_name(tables, names).count() == 4
     assert [tuple(r) for r in first_code(tables, names).collect()] == [("sAmE", "RxNorm", "y")]
+
+
+def test_separate_without_a_patient(tiny, vocabulary):
+    """Eras of nobody count for nobody."""
+    eras = [(None, A, day(0), day(10)), (None, B, day(40), day(50)), (2, A, day(0), day(9)), (2, B, day(10), day(20))]
+    found = discovery.condition_pairs_separate(tiny(condition_era=eras, **vocabulary), 10).collect()
+    assert [tuple(r) for r in found] == [("a", "b", 1)]
