@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from caseweave.storage import keep
@@ -23,6 +23,34 @@ def keep_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     return keep(df.observe(seen, F.count(F.lit(1)).alias("n")), name), seen.get["n"]
 
 
+HASHED = 16  # bits to a number, at least, when numbers are hashed
+MOST_BITS = 1 << 28  # that are broadcast of hashed numbers
+
+
+def marked(rows: DataFrame, number: Column, found: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a column ``name``: is ``number`` among those of ``found`` (one column, from 0)?
+
+    Only bits are broadcast, 4096 bytes for each 32768 numbers in a row of which one was found; rows do not move.
+    """
+    own = F.col(found.columns[0])
+    bits = found.groupBy(F.bitmap_bucket_number(own).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(own)).alias("_bits"))
+    at = F.bitmap_bit_position(number)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0, F.lit(False))
+    return rows.withColumn("_bucket", F.bitmap_bucket_number(number)).join(F.broadcast(bits), "_bucket", "left").withColumn(name, there).drop("_bucket", "_bits")
+
+
+def perhaps(rows: DataFrame, column: str, ids: DataFrame, n: int) -> DataFrame:
+    """The rows whose ``column`` is among the ``n`` ids (a column of any longs), and of the others one in ``HASHED``
+    at most: an exact join that follows has so much less to move. Of too many ids for that, exactly their rows."""
+    wide = max(1 << 15, 1 << (HASHED * max(n, 1) - 1).bit_length())
+    if wide > MOST_BITS:
+        return rows.join(ids.withColumnRenamed(ids.columns[0], column), column, "left_semi")
+    hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(wide))
+    mark = f"_{uuid.uuid4().hex[:8]}"
+    return marked(rows, hashed(column), ids.select(hashed(ids.columns[0]).alias("number")), mark).filter(mark).drop(mark)
+
+
 def _edges(df: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return df.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseweave.llm import words as W
-from caseweave.llm.graph import components, keep_counted, merge
+from caseweave.llm.graph import components, keep_counted, marked, merge, perhaps
 from caseweave.storage import keep
 
 BINS = 256
@@ -266,7 +266,8 @@ def _candidates(described: DataFrame, copies: DataFrame) -> DataFrame:
     Classes that are much alike share many bands. Of buckets with the same members, told by their
     count and two sums of mixed ids, one is kept.
     """
-    stands = described.filter("n_shingles > 0 and doc_id is not null").join(copies.select(F.col("a").alias("doc_id"), "high", "low"), ["doc_id", "high", "low"], "left_anti")
+    whole = described.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "bands", "place")
+    stands = marked(whole, F.col("place"), copies.select("place"), "copy").filter("not copy")  # by place: bands do not move
     spread = stands.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"))
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")  # most keys have one class: count them before anything else of them moves
     shared = keep(shared, "shared")
@@ -279,16 +280,16 @@ def _candidates(described: DataFrame, copies: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT, rows_per_band: int = ROWS_PER_BAND) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least doc_id linked), kept."""
-    described = keep(describe(docs, k, rows_per_band), "described")
+    described = keep(describe(docs, k, rows_per_band).withColumn("place", F.monotonically_increasing_id()), "described")
     whole = described.filter("n_shingles > 0 and doc_id is not null")
     classes = whole.groupBy("n_shingles", "high", "low").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
-    copies = whole.join(classes, ["n_shingles", "high", "low"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), "high", "low")
+    copies = whole.join(classes, ["n_shingles", "high", "low"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), "place")
     copies = keep(copies, "copies")
     members, n = keep_counted(_candidates(described, copies), "members")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    reps = keep(members.select(F.col("rep").alias("doc_id")).distinct(), "reps")
-    texts = keep(texts.join(reps, "doc_id", "left_semi"), "texts")
-    sketched = keep(described.select("doc_id", "n_shingles", "signature").join(reps, "doc_id", "left_semi"), "sketched")  # all that later rounds read
+    reps, many = keep_counted(members.select(F.col("rep").alias("doc_id")).distinct(), "reps")
+    texts = keep(perhaps(texts, "doc_id", reps, many), "texts")
+    sketched = keep(perhaps(described.select("doc_id", "n_shingles", "signature"), "doc_id", reps, many), "sketched")  # all that later rounds read
 
     # first round: each class against the centre that it shares most buckets with
     star = members.groupBy("key").agg(F.min("rep").alias("b"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseweave.llm import mixing, neardup, pii, quality, sentencepiece
+from caseweave.llm.graph import marked
 from caseweave.storage import keep, shared_folder
 
 SHINGLE_WORDS = 5  # near copies share 80 of 100 shingles of five words
@@ -41,8 +42,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = keep(found.select(F.col("doc_id").alias(place), "component_id"), "found")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", place)).alias("first")
     stays = found.join(rows.select(place, "doc_id"), place).groupBy("component_id").agg(first).select(F.col(f"first.{place}"))
-    gone = found.select(place).join(stays, place, "left_anti")
-    return rows.join(gone, place, "left_anti").select(*docs.columns)
+    gone = keep(found.select(place).join(stays, place, "left_anti"), "gone")
+    return marked(rows, F.col(place), gone, f"{place}_gone").filter(~F.col(f"{place}_gone")).select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
