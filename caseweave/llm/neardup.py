@@ -261,13 +261,16 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 
 
 def _candidates(described: DataFrame, copies: DataFrame) -> DataFrame:
-    """(key, rep) of the buckets that hold several classes; copies stay out, their class is there.
+    """(key, rep) of the buckets that hold several classes; copies, by their place or else id and hash, stay out, as their class is there.
 
     Classes that are much alike share many bands. Of buckets with the same members, told by their
     count and two sums of mixed ids, one is kept.
     """
-    whole = described.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "bands", "place")
-    stands = marked(whole, F.col("place"), copies.select("place"), "copy").filter("not copy")  # by place: bands do not move
+    whole = described.filter("n_shingles > 0 and doc_id is not null")
+    if "place" in copies.columns:  # bands do not move
+        stands = marked(whole.select("doc_id", "bands", "place"), F.col("place"), copies.select("place"), "copy").filter("not copy")
+    else:
+        stands = whole.join(copies.select(F.col("a").alias("doc_id"), "high", "low"), ["doc_id", "high", "low"], "left_anti")
     spread = stands.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"))
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")  # most keys have one class: count them before anything else of them moves
     shared = keep(shared, "shared")
